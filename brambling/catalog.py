@@ -1,0 +1,20 @@
+"""Registered queries over the test tables, and their DuckDB equivalents."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def group_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return events.filter("value > 50").groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+QUERIES["group_filtered"] = group_filtered
+ORACLE_SQL["group_filtered"] = "SELECT event_type, count(*) AS n FROM events WHERE value > 50 GROUP BY event_type"
