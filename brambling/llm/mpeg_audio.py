@@ -110,7 +110,7 @@ def text_frame(name: str, value: str) -> bytes:
 
 
 def store_payload(payload: bytes) -> bytes:
-    """An ID3v2 tag, a Xing frame and payload frames; the last frame has the least fitting bitrate."""
+    """An ID3v2 tag, a Xing frame, payload frames and an ID3v1 tag; the last frame has the least fitting bitrate."""
     full = _room(14)
     frames = [frame_bytes(payload[i : i + full], 14) for i in range(0, len(payload) - len(payload) % full, full)]
     if rest := payload[len(frames) * full :]:
@@ -124,7 +124,9 @@ def store_payload(payload: bytes) -> bytes:
     toc = bytes(min(255, 256 * ends[len(frames) * i // 100] // total) for i in range(100))
     table = b"Xing" + struct.pack(">III", 7, len(frames), total) + toc
     tag = text_frame("payload_bytes", str(len(payload)))
-    return b"".join((b"ID3\4\0\0", _syncsafe(len(tag)), tag, frame_bytes(table, 14), *frames))
+    # With a tag behind, payload bytes that spell TAG near the end can't be taken for one.
+    behind = b"TAG" + b"payload".ljust(124, b"\0") + b"\xff"
+    return b"".join((b"ID3\4\0\0", _syncsafe(len(tag)), tag, frame_bytes(table, 14), *frames, behind))
 
 
 @dataclass

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import map_texts, prepare, require, shared_folder
 from .tokens import Encoder, vocabulary_path
 
-#: Bytes of text that one file takes.
+#: Bytes of text that one file takes at most, about; small inputs get a file for each shuffle partition.
 FILE_BYTES = 64 << 20
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 64 << 10
@@ -43,7 +43,9 @@ def write_token_files(
     if encoding not in ("dictionary", "delta"):
         raise ValueError(f"unknown encoding: {encoding}")
     spark = prepare(docs.sparkSession)
-    n_files = n_files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if n_files is None:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        n_files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
     # The row number makes the order total, so one hot doc_id can be cut between files.
     ordered = (
         require(docs, "doc_id", "text")
