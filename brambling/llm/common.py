@@ -97,3 +97,16 @@ def require(df: DataFrame, *columns: str) -> DataFrame:
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
     return df.select(*[F.col(f"`{c}`") for c in columns])
+
+
+def filter_texts(df: DataFrame, keep: Callable[[pa.RecordBatch], list[bool]]) -> DataFrame:
+    """Rows (all columns unchanged) for which ``keep`` holds; it gets byte-bounded slices."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                kept = part.filter(pa.array(keep(part), pa.bool_()))
+                if kept.num_rows:
+                    yield kept
+
+    return df.mapInArrow(run, df.schema)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, prepare
+from .common import filter_texts, map_texts, prepare
 from .ngrams import counted, hash_sample, ngram_codes
 
 BITS = 14
@@ -205,6 +205,21 @@ def score(docs: DataFrame, model: CoModel | None) -> DataFrame:
     return map_texts(_with_metadata(docs), run, f"doc_id long, {_SCORES}")
 
 
+def keep_good(docs: DataFrame, model: CoModel | None) -> DataFrame:
+    """The documents, whole rows, that the model doesn't reject."""
+    if model is None:
+        return docs
+    missing = [c for c in METADATA if c not in docs.columns]
+    shared = prepare(docs.sparkSession).sparkContext.broadcast(model)
+
+    def keep(batch: pa.RecordBatch) -> list[bool]:
+        known = shared.value
+        columns = [[None] * batch.num_rows if c in missing else batch.column(c).to_pylist() for c in ("text", *METADATA)]
+        return [known.scores(_vectors(*r))[0] >= known.threshold for r in zip(*columns)]
+
+    return filter_texts(docs, keep)
+
+
 def op3(spark, sf_dir: str) -> DataFrame:
     from .common import documents
 

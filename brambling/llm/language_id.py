@@ -20,13 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, prepare, require
+from .common import filter_texts, map_texts, prepare, require
 from .ngrams import counted, hash_sample, ngram_codes
 
 BITS = 15
 #: Rows that weights are fitted on, about.
 TRAIN_ROWS = 4000
 UNDETERMINED = "und"
+#: Calibrated probability below which a filter rejects a document.
+LEAST_SCORE = 0.5
 
 
 @dataclass
@@ -173,6 +175,17 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return map_texts(require(docs, "doc_id", "text").select("doc_id", "text", held.alias("held_out")), run, _SCHEMA)
 
 
+def keep_identified(docs: DataFrame, model: Model, least: float = LEAST_SCORE) -> DataFrame:
+    """The documents, whole rows, whose language is determined with at least this probability."""
+    shared = prepare(docs.sparkSession).sparkContext.broadcast(model)
+
+    def keep(batch: pa.RecordBatch) -> list[bool]:
+        found = [shared.value.predict(t) for t in batch.column("text").to_pylist()]
+        return [name != UNDETERMINED and score >= least for name, score in found]
+
+    return filter_texts(docs, keep)
+
+
 def op4(spark, sf_dir: str) -> DataFrame:
     from .common import documents
 
