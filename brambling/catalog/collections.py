@@ -9,19 +9,23 @@ from ..functions import arrays, documents
 from ..operators import counts, facets
 from .registry import Tables, query
 
-# Tags of a part: its name's words, with NULL arrays, empty arrays and NULL elements mixed in.
-_TAGS = (
-    F.when(F.col("p_partkey") % 23 == 0, F.lit(None))
-    .when(F.col("p_partkey") % 19 == 0, F.array().cast("array<string>"))
-    .when(F.col("p_partkey") % 11 == 0, F.concat(F.split("p_name", " "), F.array(F.lit(None).cast("string"), F.lit("red"))))
-    .otherwise(F.concat(F.split("p_name", " "), F.array(F.col("p_type"))))
-)
+
+def _tags() -> Column:
+    """A part's tags: its name's words, with NULL arrays, empty arrays and NULL elements mixed in."""
+    return (
+        F.when(F.col("p_partkey") % 23 == 0, F.lit(None))
+        .when(F.col("p_partkey") % 19 == 0, F.array().cast("array<string>"))
+        .when(F.col("p_partkey") % 11 == 0, F.concat(F.split("p_name", " "), F.array(F.lit(None).cast("string"), F.lit("red"))))
+        .otherwise(F.concat(F.split("p_name", " "), F.array(F.col("p_type"))))
+    )
+
+
 _SQL_TAGS = """(SELECT *, CASE WHEN p_partkey % 23 = 0 THEN NULL WHEN p_partkey % 19 = 0 THEN CAST([] AS varchar[])
     WHEN p_partkey % 11 = 0 THEN list_concat(string_split(p_name, ' '), [NULL, 'red']) ELSE list_concat(string_split(p_name, ' '), [p_type]) END AS tags FROM part)"""
 
 
 def _tagged(t: Tables):
-    return t.part.withColumn("tags", _TAGS)
+    return t.part.withColumn("tags", _tags())
 
 
 def _has(value: str) -> str:
@@ -109,8 +113,11 @@ def json_contains(t: Tables):
     return counts.count_where(t.events, documents.contains(F.col("props"), {"k": 42.0}))
 
 
-# A nested document for each part.
-_DOC = F.to_json(F.struct(F.col("p_brand").alias("cat"), F.col("p_size").alias("n"), F.split("p_name", " ").alias("tags"), F.struct(F.col("p_type").alias("t")).alias("in")))
+def _doc() -> Column:
+    """A nested document for each part."""
+    return F.to_json(F.struct(F.col("p_brand").alias("cat"), F.col("p_size").alias("n"), F.split("p_name", " ").alias("tags"), F.struct(F.col("p_type").alias("t")).alias("in")))
+
+
 _SQL_DOC = "part"
 
 
@@ -126,7 +133,7 @@ def json_nested(t: Tables):
         "both_": documents.contains(doc, {"cat": "Brand#7", "in": {"t": "SMALL"}}), "tagged": documents.contains(doc, {"tags": ["red"]}), "sized": documents.contains(doc, {"n": 11}),
         "has_keys": documents.has_all_keys(doc, ["cat", "tags"]) & documents.has_any_key(doc, ["zz", "in"]), "no_key": documents.has_key(doc, "t"),
     }
-    return counts.filtered_counts(t.part.withColumn("doc", _DOC), tests)
+    return counts.filtered_counts(t.part.withColumn("doc", _doc()), tests)
 
 
 @query(
@@ -140,7 +147,7 @@ def json_path(t: Tables):
         "above": documents.path_match(doc, "$.n > 40"), "bolts": documents.path_exists(doc, '$.tags[*] ? (@ == "bolt")'),
         "both_": documents.path_match(doc, '$.cat starts with "Brand#1" && $.n < 10'), "anywhere": documents.path_exists(doc, '$.** ? (@ == "SMALL")'),
     }
-    tested = t.part.select(_DOC.alias("doc")).select(*[test.alias(k) for k, test in tests.items()])
+    tested = t.part.select(_doc().alias("doc")).select(*[test.alias(k) for k, test in tests.items()])
     return tested.agg(*[F.count_if(k).alias(k) for k in tests])
 
 

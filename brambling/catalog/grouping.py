@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 from ..operators import counts, slices
 from .registry import Tables, query
 
-_KEY = F.nullif(F.col("user_id") % 7, F.lit(0))
+
+def _key():
+    return F.nullif(F.col("user_id") % 7, F.lit(0))
+
+
 _SQL_KEY = "nullif(user_id % 7, 0)"
 
 
@@ -19,7 +23,7 @@ def group_filtered(t: Tables):
 
 @query("group1", f"SELECT {_SQL_KEY} AS g, count(*) AS n FROM events GROUP BY 1")
 def group1(t: Tables):
-    return counts.group_counts(t.events, _KEY.alias("g"))
+    return counts.group_counts(t.events, _key().alias("g"))
 
 
 @query("group_users", "SELECT user_id, count(*) AS n FROM events GROUP BY user_id")
@@ -44,7 +48,7 @@ def group_inlist(t: Tables):
 
 @query("group_coalesce", f"SELECT coalesce({_SQL_KEY}, 3) AS g, count(*) AS n FROM events GROUP BY 1")
 def group_coalesce(t: Tables):
-    return counts.group_counts(t.events, F.coalesce(_KEY, F.lit(3)).alias("g"))
+    return counts.group_counts(t.events, F.coalesce(_key(), F.lit(3)).alias("g"))
 
 
 @query("group_expr", "SELECT user_id % 10 AS g, CAST(year(o.o_orderdate) AS int) AS y, count(*) AS n FROM events e JOIN orders o ON o.o_orderkey = e.event_id GROUP BY ALL")
@@ -95,7 +99,7 @@ def distinct_count(t: Tables):
 
 @query("distinct_grouped", f"SELECT event_type, count(DISTINCT {_SQL_KEY}) AS n_distinct FROM events GROUP BY 1")
 def distinct_grouped(t: Tables):
-    return counts.distinct_count(t.events.withColumn("g", _KEY), "g", "event_type")
+    return counts.distinct_count(t.events.withColumn("g", _key()), "g", "event_type")
 
 
 @query("distinct_unique", "SELECT event_type, count(DISTINCT event_id) AS n_distinct FROM events GROUP BY 1")
@@ -139,7 +143,7 @@ def gsets_sets(t: Tables):
 )
 def gsets_null_keys(t: Tables):
     keys = ["g", "event_type"]
-    return counts.grouping_sets(t.events.withColumn("g", _KEY), keys, counts.rollup_sets(keys))
+    return counts.grouping_sets(t.events.withColumn("g", _key()), keys, counts.rollup_sets(keys))
 
 
 @query(
@@ -222,7 +226,7 @@ def capped_count(t: Tables):
 
 @query("group_stats", f"SELECT count(*) AS n_groups, CAST(sum(n) AS bigint) AS n_rows FROM (SELECT {_SQL_KEY} AS g, count(*) AS n FROM events WHERE value > 10 GROUP BY 1)")
 def group_stats(t: Tables):
-    return counts.group_stats(t.events.withColumn("g", _KEY), "g", "value > 10")
+    return counts.group_stats(t.events.withColumn("g", _key()), "g", "value > 10")
 
 
 @query("two_level", "SELECT n, count(*) AS groups FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) GROUP BY 1")

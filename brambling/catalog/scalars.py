@@ -12,7 +12,12 @@ from ..operators import counts
 from ..plans.ranges import range_filter
 from .registry import Tables, query
 
-_USER = F.nullif(F.col("user_id") % 7, F.lit(0))  # NULL in a seventh of the values
+
+def _user():
+    """NULL in a seventh of the values."""
+    return F.nullif(F.col("user_id") % 7, F.lit(0))
+
+
 _SQL_USER = "nullif(user_id % 7, 0)"
 
 
@@ -58,7 +63,7 @@ def count_or(t: Tables):
 
 @query("count_ne", f"SELECT count(*) AS n FROM events WHERE {_SQL_USER} <> 3")
 def count_ne(t: Tables):
-    return counts.count_where(t.events, _USER != 3)
+    return counts.count_where(t.events, _user() != 3)
 
 
 @query("count_not_in", "SELECT count(*) AS n FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH')")
@@ -68,17 +73,17 @@ def count_not_in(t: Tables):
 
 @query("count_is_distinct", f"SELECT count(*) AS n FROM events WHERE {_SQL_USER} IS DISTINCT FROM 3")
 def count_is_distinct(t: Tables):
-    return counts.count_where(t.events, p.distinct_from(_USER, 3))
+    return counts.count_where(t.events, p.distinct_from(_user(), 3))
 
 
 @query("count_not_distinct", f"SELECT count(*) AS n FROM events WHERE {_SQL_USER} IS NOT DISTINCT FROM 3")
 def count_not_distinct(t: Tables):
-    return counts.count_where(t.events, p.not_distinct_from(_USER, 3))
+    return counts.count_where(t.events, p.not_distinct_from(_user(), 3))
 
 
 @query("count_null", f"SELECT count(*) FILTER (WHERE {_SQL_USER} IS NULL) AS n_null, count({_SQL_USER}) AS n_known, count(*) AS n FROM events")
 def count_null(t: Tables):
-    return t.events.agg(F.count_if(_USER.isNull()).alias("n_null"), F.count(_USER).alias("n_known"), F.count("*").alias("n"))
+    return t.events.agg(F.count_if(_user().isNull()).alias("n_null"), F.count(_user()).alias("n_known"), F.count("*").alias("n"))
 
 
 @query("count_range", "SELECT count(*) AS n FROM events WHERE value > 50 AND value <= 90")
@@ -91,7 +96,10 @@ def count_between(t: Tables):
     return counts.count_where(t.orders, F.col("o_custkey").between(100, 400))
 
 
-_FLAG = F.when(F.col("user_id") % 7 != 0, F.col("value") > 50)
+def _flag():
+    return F.when(F.col("user_id") % 7 != 0, F.col("value") > 50)
+
+
 _SQL_FLAG = "(CASE WHEN user_id % 7 <> 0 THEN value > 50 END)"
 
 
@@ -102,13 +110,13 @@ _SQL_FLAG = "(CASE WHEN user_id % 7 <> 0 THEN value > 50 END)"
     count(*) FILTER (WHERE {_SQL_FLAG} IS NULL) AS n_unknown FROM events""",
 )
 def count_bool_tests(t: Tables):
-    tests = {"n_true": _FLAG, "n_not": ~_FLAG, "n_is_not_true": p.distinct_from(_FLAG, True), "n_is_false": p.not_distinct_from(_FLAG, False), "n_unknown": _FLAG.isNull()}
+    tests = {"n_true": _flag(), "n_not": ~_flag(), "n_is_not_true": p.distinct_from(_flag(), True), "n_is_false": p.not_distinct_from(_flag(), False), "n_unknown": _flag().isNull()}
     return counts.filtered_counts(t.events, tests)
 
 
 @query("count_complement_or", f"SELECT count(*) AS n FROM events WHERE {_SQL_USER} <> 5 OR {_SQL_USER} IS NULL")
 def count_complement_or(t: Tables):
-    return counts.count_where(t.events, (_USER != 5) | _USER.isNull())
+    return counts.count_where(t.events, (_user() != 5) | _user().isNull())
 
 
 @query("count_exclusions", "SELECT count(*) AS n FROM events WHERE event_type <> 'click' AND event_type <> 'view' AND user_id <> 8")

@@ -117,7 +117,7 @@ def parse_query(text: str) -> Query | None:
         if m["op"]:
             raise ValueError(f"query has {m['op']} out of place: {text}")
         flags = (m["flags"] or "").upper()
-        parts = [p for p in re.split(r"[^\w]+", (m["quoted"] or m["word"]).replace("''", "'").lower()) if p]
+        parts = [p for p in re.split(r"[^\w]+", (m["word"] if m["quoted"] is None else m["quoted"]).replace("''", "'").lower()) if p]
         if not parts:
             raise ValueError(f"query has an empty word: {text}")
         terms = [Term(p, "*" in flags, "".join(sorted(set(flags) & set("ABCD")))) for p in parts]
