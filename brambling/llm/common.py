@@ -1,38 +1,32 @@
-"""Shared plumbing: shipping the package to executors, Arrow batching, shared storage."""
+"""Shared plumbing: Arrow batching and shared storage."""
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: Text bytes handled at once inside a Python worker; bounds its memory whatever the batch size.
 SLICE_BYTES = 4 << 20
 #: Rows in one Arrow batch; documents can be long, so the default of 10,000 is too many.
 BATCH_ROWS = 1000
+#: Bytes of one Arrow batch, about; a row is never cut.
+BATCH_BYTES = 8 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Make the package importable on executors and keep Arrow batches small."""
-    context = spark.sparkContext
-    if not getattr(context, "_brambling_shipped", False):
-        root = Path(__file__).resolve().parents[1]
-        target = os.path.join(tempfile.mkdtemp(), f"{root.name}.zip")
-        with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as bundle:
-            for path in sorted(root.rglob("*.py")):
-                bundle.write(path, str(path.relative_to(root.parent)))
-        context.addPyFile(target)
-        context._brambling_shipped = True
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    ship(spark)
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key).rstrip("b")
+        if int(now) <= 0 or int(now) > most:
+            spark.conf.set(key, str(most))
     return spark
 
 
