@@ -17,7 +17,8 @@ from alternating large-star and small-star steps.  Exact copies are one node fro
 Defined results: null and word-less texts have an empty set and are linked with nothing, as are rows
 with a null ``doc_id`` (component null, kept); repeated rows share one result; ties go to the
 smallest ``doc_id``; an empty table gives no rows; other columns are ignored.  A ``doc_id`` names one
-document: where it repeats with different texts, each row is judged by its own text.
+document: where it repeats with different texts, copies of each are found, and the text with the
+smallest fingerprint stands for it in links between different texts.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ BAND_ROWS = 7
 MISS = 1e-6
 #: Standard deviations that an estimate may lie below the threshold.
 MARGIN = 6.0
-#: Ids that are broadcast at most, to pick the texts of documents that share a band.
+#: Ids that are broadcast at most, to pick documents without a shuffle of texts or registers.
 BROADCAST_IDS = 1_000_000
 _EMPTY = np.uint16(0)
 _PROBES = 24
@@ -184,16 +185,29 @@ def centres(bands: DataFrame) -> DataFrame:
     return pairs.join(tops, "id").filter(F.col("id") != -F.col("best.minus")).select((-F.col("best.minus")).alias("centre"), "id", (-F.col("top.minus")).alias("top"))
 
 
+def _small(ids: DataFrame) -> DataFrame:
+    """Ids to be broadcast if they are few enough; joined by a shuffle otherwise."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """``id, hashes``: the whole shingle sets of the given documents."""
+    """``id, hashes, fp``: the whole shingle sets of the given documents."""
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets([t or "" for t in batch.column("text").to_pylist()], words)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "hashes"])
+        arrays = [pa.array([f(s) for s in sets], pa.binary()) for f in (np.ndarray.tobytes, xxhash.xxh3_128_digest)]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], names=["id", "hashes", "fp"])
+
+    chosen = require(docs, "doc_id", "text").join(_small(ids).withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
+    return map_texts(chosen, cut, "id long, hashes binary, fp binary")
 
-    known = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    chosen = require(docs, "doc_id", "text").join(known.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    return map_texts(chosen, cut, "id long, hashes binary")
+
+def _one_text(rows: DataFrame, again: bool) -> DataFrame:
+    """One row for each id, where ids repeat: that of the smallest fingerprint."""
+    rest = [c for c in rows.columns if c not in ("id", "fp")]
+    if not again:
+        return rows.select("id", *rest)
+    return rows.groupBy("id").agg(F.min_by(F.struct(*rest), "fp").alias("row_")).select("id", "row_.*")
 
 
 def _with_sets(pairs: DataFrame, sets: DataFrame, a: str, b: str) -> DataFrame:
@@ -318,36 +332,30 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     """``doc_id, n_shingles, component_id, kept``: documents linked at ``percent`` Jaccard similarity or more."""
     prepare(docs.sparkSession)
     known = checkpointed(sketches(docs, words, percent))
-    copies = known.filter("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id"))
-    copies = checkpointed(copies)
-    owners = copies.select("id").distinct()
-    reps = checkpointed(
-        known.filter("registers is not null and doc_id is not null")
-        .select(F.col("doc_id").alias("id"), "n", "registers", "fp")
-        .join(owners, "id", "left_semi")
-        .select("id", "n", "registers")
-    )
+    first = known.filter("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("owner"))
+    # Every row with the first document of its set: copies are one node from here on.
+    owned = checkpointed(known.select("doc_id", "n", "fp").join(first, "fp", "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("owner")).alias("owner")))
+    copies = owned.filter("doc_id != owner").select(F.col("doc_id").alias("id")).distinct()
+    again = not owned.filter("doc_id = owner").groupBy("doc_id").count().filter("count > 1").isEmpty()
+    sketched = known.filter("registers is not null and doc_id is not null").select(F.col("doc_id").alias("id"), "n", "registers", "fp")
+    reps = _one_text(sketched.join(_small(copies), "id", "left_anti"), again)
     pairs = checkpointed(centres(banded(reps, bands_for(percent))))
     ids = checkpointed(pairs.select("id").unionByName(pairs.select(F.col("centre").alias("id"))).distinct())
-    sets = checkpointed(full_sets(docs, ids, words))
+    sets = checkpointed(_one_text(full_sets(docs, ids, words), again))
     stars = checkpointed(compared(pairs, sets, percent))
     others = estimated(member_pairs(stars, percent), reps, percent)
     links = stars.filter("linked").select(F.col("centre").alias("a"), F.col("id").alias("b")).unionByName(confirmed(others, sets, percent))
-    found = components(links)
-    roots = copies.join(found, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    placed = known.select("doc_id", "n", "fp").join(roots, "fp", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return placed.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    found = components(links).withColumnRenamed("id", "owner")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "owner", "doc_id"))
+    placed = owned.join(found, "owner", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return placed.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The documents, whole rows, with one of each group; repeated rows are one document."""
     found = checkpointed(near_duplicates(docs, words, percent)).filter("doc_id is not null").groupBy("doc_id")
     judged = checkpointed(found.agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n")))
-    dropped = judged.filter("not kept").select("doc_id")
-    if dropped.count() <= BROADCAST_IDS:
-        dropped = F.broadcast(dropped)
-    kept = docs.join(dropped, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = docs.join(_small(judged.filter("not kept").select("doc_id")), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
     if judged.filter("kept and n > 1").isEmpty():
         return kept
     unnamed = kept.filter("doc_id is null")

@@ -28,7 +28,7 @@ BITS = 15
 TRAIN_ROWS = 4000
 UNDETERMINED = "und"
 #: Calibrated probability below which a filter rejects a document.
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.4
 
 
 @dataclass
