@@ -72,7 +72,10 @@ def with_statistics(docs: DataFrame) -> DataFrame:
     starts = placed.select(*counts, F.sort_array(F.filter(F.transform("win", repeated), lambda i: i.isNotNull())).alias("at"))
     step = F.transform("at", lambda p, j: F.least(F.lit(5), F.coalesce(F.get("at", j + 1) - p, F.lit(5))))
     covered = F.aggregate(step, F.lit(0).cast("long"), lambda a, x: a + x)
-    return starts.select(*counts, F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
+    found = F.struct(*counts, F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
+    # A generator keeps filters on the results above it: pushed down, they would repeat the nested
+    # expressions, doubled at every step.
+    return starts.select(F.inline(F.array(found)))
 
 
 def with_features(stats: DataFrame) -> DataFrame:
