@@ -34,18 +34,35 @@ def set_weight(tokens: Column, weight: str) -> Column:
 
 def strip(tokens: Column) -> Column:
     """One token for each lexeme, without position and weight."""
-    lexemes = F.array_distinct(F.transform(tokens, lambda t: t["lex"]))
-    return F.transform(lexemes, lambda x: F.struct(x.alias("lex"), F.lit(None).cast("int").alias("pos"), F.lit(None).cast("string").alias("w")))
+    return F.transform(lexemes(tokens), lambda x: F.struct(x.alias("lex"), F.lit(None).cast("int").alias("pos"), F.lit(None).cast("string").alias("w")))
 
 
 def joined(a: Column, b: Column) -> Column:
     """``a || b``: the positions of ``b`` follow the last of ``a``."""
     last = F.coalesce(F.array_max(F.transform(a, lambda t: t["pos"])), F.lit(0))
-    return F.concat(a, F.transform(b, lambda t: F.struct(t["lex"].alias("lex"), (t["pos"] + last).alias("pos"), t["w"].alias("w"))))
+
+    def moved(by: Column) -> Column:
+        return F.transform(b, lambda t: F.struct(t["lex"].alias("lex"), (t["pos"] + by).alias("pos"), t["w"].alias("w")))
+
+    # An array of one binds the last position, which the inner lambda would compute for each token.
+    return F.concat(a, F.get(F.transform(F.array(last), moved), 0))
+
+
+def spelled(tokens: Column) -> Column:
+    """The lexemes of all tokens, one for each occurrence."""
+    return tokens.getField("lex")
 
 
 def lexemes(tokens: Column) -> Column:
-    return F.array_distinct(F.transform(tokens, lambda t: t["lex"]))
+    return F.array_distinct(spelled(tokens))
+
+
+def holds(tokens: Column, word: str) -> Column:
+    return F.array_contains(spelled(tokens), word)
+
+
+def occurrences(tokens: Column, word: str) -> Column:
+    return F.size(spelled(tokens)) - F.size(F.array_remove(spelled(tokens), word))
 
 
 @dataclass(frozen=True)
@@ -152,6 +169,10 @@ def _is(t: Column, term: Term) -> Column:
     return same & F.coalesce(t["w"].isin(list(term.weights)), F.lit(False)) if term.weights else same
 
 
+def _moved(positions: Column, n: int) -> Column:
+    return F.transform(positions, lambda p: p + n)
+
+
 def _positions(tokens: Column, query: Query) -> Column:
     """Places where a part of a phrase ends."""
     if isinstance(query, Term):
@@ -167,12 +188,12 @@ def _positions(tokens: Column, query: Query) -> Column:
         n = query.distance
         if isinstance(query.left, Not) and not isinstance(query.right, Not):
             right, left = _positions(tokens, query.right), _positions(tokens, query.left.part)
-            return F.filter(right, lambda p: ~F.array_contains(left, p - n))
+            return F.array_except(right, _moved(left, n))
         if isinstance(query.right, Not) and not isinstance(query.left, Not):
             left, right = _positions(tokens, query.left), _positions(tokens, query.right.part)
-            return F.filter(F.transform(left, lambda p: p + n), lambda p: ~F.array_contains(right, p))
+            return F.array_except(_moved(left, n), right)
         left, right = _positions(tokens, query.left), _positions(tokens, query.right)
-        return F.filter(right, lambda p: F.array_contains(left, p - n))
+        return F.array_intersect(right, _moved(left, n))
     raise ValueError("NOT of both sides of a phrase is not supported")
 
 
@@ -182,7 +203,8 @@ def matches(tokens: Column, query: str | Query) -> Column:
 
     def truth(q: Query) -> Column:
         if isinstance(q, Term):
-            return F.exists(tokens, lambda t: _is(t, q))
+            # A plain word needs no lambda: the compiled search of an array does.
+            return F.exists(tokens, lambda t: _is(t, q)) if q.prefix or q.weights else holds(tokens, q.lexeme)
         if isinstance(q, Not):
             return ~truth(q.part)
         if isinstance(q, And):

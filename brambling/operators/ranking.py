@@ -21,14 +21,6 @@ class Statistics:
     frequencies: dict[str, int]
 
 
-def _has(tokens: Column, word: str) -> Column:
-    return F.exists(tokens, lambda t: t["lex"] == word)
-
-
-def _occurrences(tokens: Column, word: str) -> Column:
-    return F.size(F.filter(tokens, lambda t: t["lex"] == word))
-
-
 def statistics(df: DataFrame, tokens: Column, query: str) -> Statistics:
     """One pass of partial aggregates; one row comes back."""
     terms = text.scoring_terms(query)
@@ -36,7 +28,7 @@ def statistics(df: DataFrame, tokens: Column, query: str) -> Statistics:
     row = df.agg(
         F.count_if(n > 0).alias("documents"),
         F.avg(F.when(n > 0, n)).alias("mean"),
-        *[F.count_if(_has(tokens, w)).alias(f"df{i}") for i, w in enumerate(terms)],
+        *[F.count_if(text.holds(tokens, w)).alias(f"df{i}") for i, w in enumerate(terms)],
     ).first()
     return Statistics(row["documents"], row["mean"] or 1.0, {w: row[f"df{i}"] for i, w in enumerate(terms)})
 
@@ -46,7 +38,7 @@ def score(tokens: Column, known: Statistics, k1: float = K1, b: float = B) -> Co
     length = F.size(tokens) / F.lit(known.mean_length)
     total = F.lit(0.0)
     for word, df in known.frequencies.items():
-        tf = _occurrences(tokens, word).cast("double")
+        tf = text.occurrences(tokens, word).cast("double")
         idf = F.log(1 + (F.lit(float(known.documents)) - df + 0.5) / (F.lit(float(df)) + 0.5))
         total = total + F.when(tf > 0, idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length))).otherwise(0.0)
     return F.when(tokens.isNotNull(), total)
@@ -62,6 +54,6 @@ def bm25(df: DataFrame, key: str, tokens: Column, query: str | None, k: int | No
         return df.select(key, F.lit(0.0).alias("score")).limit(0)
     known = statistics(df, tokens, query)
     terms = list(known.frequencies)
-    test = text.matches(tokens, query) if match else F.exists(tokens, lambda t: t["lex"].isin(terms))
+    test = text.matches(tokens, query) if match else F.arrays_overlap(text.spelled(tokens), F.array(*map(F.lit, terms)))
     rows = df.filter(test if condition is None else test & condition)
     return rows.select(key, score(tokens, known, k1, b).alias("score")).orderBy(F.desc("score"), key).limit(k)
