@@ -108,7 +108,7 @@ def permute_card(digits: Column, key: str, inverse: bool = False) -> Column:
 def refill(form: Column, digits: Column) -> Column:
     """``form`` with its digits replaced by ``digits``, one by one."""
     seen = F.transform(F.sequence(F.lit(1), F.length(form)), lambda i: F.struct(F.substr(form, i, F.lit(1)).alias("c"), F.length(F.regexp_replace(F.substr(form, F.lit(1), i), "[^0-9]", "")).alias("k")))
-    return F.array_join(F.transform(seen, lambda s: F.when(s["c"].rlike("[0-9]"), F.substr(digits, s["k"], F.lit(1))).otherwise(s["c"])), "")
+    return _let(digits, lambda d: F.array_join(F.transform(seen, lambda s: F.when(s["c"].rlike("[0-9]"), F.substr(d, s["k"], F.lit(1))).otherwise(s["c"])), ""))
 
 
 def _parsed_date(token: Column) -> Column:
