@@ -190,6 +190,20 @@ def day_bounds(t: Tables):
     return t.orders.filter("o_custkey < 100").select(day.alias("day"), days.day_first(day).alias("first_at"), days.day_last(day).alias("last_at")).distinct()
 
 
+@query(
+    "unit_bounds",
+    """SELECT event_id, CASE WHEN date_trunc('month', ts) = ts THEN ts ELSE date_trunc('month', ts) + INTERVAL 1 MONTH END AS month_first,
+    date_trunc('week', ts) + INTERVAL 7 DAY - INTERVAL 1 MICROSECOND AS week_last, date_trunc('hour', ts) + INTERVAL 1 HOUR - INTERVAL 1 MICROSECOND AS hour_last,
+    date_trunc('decade', ts) AS decade, make_timestamp((year(ts) - 1) // 100 * 100 + 101, 1, 1, 0, 0, 0.0) AS next_century FROM events WHERE user_id < 5""",
+)
+def unit_bounds(t: Tables):
+    ts = F.col("ts")
+    return t.events.filter("user_id < 5").select(
+        "event_id", days.first_reaching("month", ts).alias("month_first"), days.last_within("week", ts).alias("week_last"), days.last_within("hour", ts).alias("hour_last"),
+        days.unit_start("decade", ts).alias("decade"), days.unit_end("century", ts).alias("next_century"),
+    )
+
+
 @query("count_text_filter", "SELECT count(*) AS n FROM events WHERE event_type IN ('click', 'error') AND NOT (user_id BETWEEN 5 AND 20) OR value IS NULL")
 def count_text_filter(t: Tables):
     return counts.count_where(p.set_filter(t.events, "event_type IN ('click', 'error') AND NOT (user_id BETWEEN 5 AND 20) OR value IS NULL"))

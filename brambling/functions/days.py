@@ -64,6 +64,35 @@ def unit_last(unit: str, at: datetime) -> datetime:
     return following(unit, truncated(unit, at)) - timedelta(microseconds=1)
 
 
+def unit_start(unit: str, ts: Column) -> Column:
+    """``date_trunc(unit, ts)`` of a timestamp without time zone, for all units."""
+    if unit in _YEARS:
+        years, first = _YEARS[unit], 0 if unit == "decade" else 1
+        start = F.floor((F.year(ts) - first) / years) * years + first
+        return F.make_date(start.cast("int"), F.lit(1), F.lit(1)).cast("timestamp_ntz")
+    if unit not in UNITS:
+        raise ValueError(f"unknown unit: {unit}")
+    return F.date_trunc(unit, ts).cast("timestamp_ntz")
+
+
+def unit_end(unit: str, ts: Column) -> Column:
+    """Start of the unit after the one that holds ``ts``."""
+    start = unit_start(unit, ts)
+    if unit in _MONTHS:
+        return start + F.make_ym_interval(F.lit(0), F.lit(_MONTHS[unit]))
+    return start + F.lit(_DELTAS[unit])
+
+
+def first_reaching(unit: str, ts: Column) -> Column:
+    """First timestamp whose unit start is ``ts`` or later."""
+    return F.when(unit_start(unit, ts) == ts, ts).otherwise(unit_end(unit, ts))
+
+
+def last_within(unit: str, ts: Column) -> Column:
+    """Last microsecond whose unit start is ``ts`` or earlier."""
+    return unit_end(unit, ts) - F.lit(timedelta(microseconds=1))
+
+
 def _literal(at: datetime) -> Column:
     return F.lit(at.isoformat(sep=" ")).cast("timestamp_ntz")
 

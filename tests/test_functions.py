@@ -102,6 +102,13 @@ def test_long_units():
         days.truncated("fortnight", datetime(2000, 1, 1))
 
 
+def test_unit_columns_equal_literals(spark):
+    df = spark.createDataFrame([(i, m) for i, m in enumerate(MOMENTS)], "id int, ts timestamp_ntz")
+    for unit in days.UNITS:
+        got = df.orderBy("id").select(days.unit_start(unit, F.col("ts")), days.first_reaching(unit, F.col("ts")), days.last_within(unit, F.col("ts"))).collect()
+        assert [tuple(r) for r in got] == [(days.truncated(unit, m), days.unit_first(unit, m), days.unit_last(unit, m)) for m in MOMENTS], unit
+
+
 def test_range_filter_reaches_the_scan(spark, small_dir):
     df = range_filter(spark.read.parquet(f"{small_dir}/events.parquet"), "timestamp '2024-01-10' <= date_trunc('day', ts)", "event_type = 'click'")
     plan = df._jdf.queryExecution().executedPlan().toString()
