@@ -112,12 +112,15 @@ _TOKEN = re.compile(
 )
 
 
+_METHODS = ("type", "size", "abs", "floor", "ceiling", "double")
+
+
 class PathError(ValueError):
     """A path that can't be read."""
 
 
 class _Reader:
-    """Recursive descent over ``[strict|lax] expression``; nodes are tuples."""
+    """Recursive descent over ``[lax] expression``; nodes are tuples."""
 
     def __init__(self, text: str) -> None:
         self.tokens, at = [], 0
@@ -218,6 +221,8 @@ class _Reader:
                 elif value == "*" and kind == "op":
                     node = ("values", node)
                 elif kind == "word" and self.peek("("):
+                    if value not in _METHODS:
+                        raise PathError(f"method is not supported: {value}()")
                     self.take("(")
                     self.take(")")
                     node = ("method", value, node)
@@ -248,7 +253,7 @@ class _Reader:
 
 @lru_cache(256)
 def _parsed(path: str):
-    reader = _Reader(re.sub(r"^\s*(?:lax|strict)\s+", "", path))
+    reader = _Reader(re.sub(r"^\s*lax\s+", "", path))
     node = reader.either()
     if reader.at != len(reader.tokens):
         raise PathError(f"path is not supported: {path}")

@@ -195,8 +195,9 @@ def test_json_path_finds(spark):
     assert holds(df, documents.path_exists(F.col("d"), '$.j.a[*] ? (@ == "x")'))[7] is True
     assert holds(df, documents.path_exists(F.col("d"), "$.j[1].b"))[11] is True
     assert holds(df, documents.path_exists(F.col("d"), '$.** ? (@ == "v")'))[8] is True
-    with pytest.raises(ValueError):
-        documents.path_match(F.col("d"), "$.k === 1")
+    for bad in ("$.k === 1", "strict $.k", "$.k.keyvalue()", "$.k ? (@ > 1", "$[last]", ""):
+        with pytest.raises(ValueError):
+            documents.path_match(F.col("d"), bad)
 
 
 # Text.
