@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 from ..session import ship
 
 #: Text bytes handled at once inside a Python worker; bounds its memory whatever the batch size.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: Rows in one Arrow batch; documents can be long, so the default of 10,000 is too many.
 BATCH_ROWS = 1000
 #: Bytes of one Arrow batch, about; a row is never cut.
@@ -55,6 +57,23 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Return a Python worker's free memory to the system; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidily(batches: Iterator[pa.RecordBatch], function: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
+    """``function`` of every batch; memory goes back when a task is done."""
+    try:
+        for batch in batches:
+            if batch.num_rows:
+                yield from function(batch)
+    finally:
+        give_back()
+
+
 def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Cut a batch where its texts reach SLICE_BYTES."""
     sizes = [len(s) if s is not None else 0 for s in batch.column(column).to_pylist()]
@@ -75,14 +94,13 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
 def map_texts(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """Apply ``function`` to byte-bounded slices of each Arrow batch."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                out = function(part)
-                if out is not None and out.num_rows:
-                    yield out
+    def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for part in slices(batch):
+            out = function(part)
+            if out is not None and out.num_rows:
+                yield out
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lambda batches: tidily(batches, parts), schema)
 
 
 def require(df: DataFrame, *columns: str) -> DataFrame:
@@ -96,11 +114,10 @@ def require(df: DataFrame, *columns: str) -> DataFrame:
 def filter_texts(df: DataFrame, keep: Callable[[pa.RecordBatch], list[bool]]) -> DataFrame:
     """Rows (all columns unchanged) for which ``keep`` holds; it gets byte-bounded slices."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                kept = part.filter(pa.array(keep(part), pa.bool_()))
-                if kept.num_rows:
-                    yield kept
+    def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for part in slices(batch):
+            kept = part.filter(pa.array(keep(part), pa.bool_()))
+            if kept.num_rows:
+                yield kept
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(lambda batches: tidily(batches, parts), df.schema)

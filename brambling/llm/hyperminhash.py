@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_texts, prepare, require
+from .common import checkpointed, map_texts, prepare, require, tidily
 from .shingles import mixed, shingle_sets
 
 BUCKET_BITS = 9
@@ -164,14 +164,12 @@ def _rows_of(column: pa.Array) -> np.ndarray:
 def banded(reps: DataFrame, n_bands: int) -> DataFrame:
     """``key, id``: one row for each band of each representative."""
 
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                keys = band_keys(_rows_of(batch.column("registers")), n_bands)
-                ids = np.repeat(batch.column("id").to_numpy(), n_bands)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(ids)], names=["key", "id"])
+    def spread(batch: pa.RecordBatch):
+        keys = band_keys(_rows_of(batch.column("registers")), n_bands)
+        ids = np.repeat(batch.column("id").to_numpy(), n_bands)
+        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(ids)], names=["key", "id"])
 
-    return reps.select("id", "registers").mapInArrow(run, "key long, id long")
+    return reps.select("id", "registers").mapInArrow(lambda batches: tidily(batches, spread), "key long, id long")
 
 
 def centres(bands: DataFrame) -> DataFrame:
@@ -223,12 +221,15 @@ def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 def _row_by_row(batches, function, schema: pa.Schema):
     """Rows of a batch one at a time: two whole sets are all that is held."""
-    for batch in batches:
+
+    def judged(batch: pa.RecordBatch):
         columns = [batch.column(i) for i in range(batch.num_columns)]
         rows = [r for i in range(batch.num_rows) if (r := function(dict(zip(batch.schema.names, (c[i].as_py() for c in columns)))))]
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema)
 
+    return tidily(batches, judged)
+
 
 def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Members beside their centres: whether linked, both sizes, and the difference."""
@@ -289,15 +290,13 @@ def estimated(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     one = reps.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("registers").alias("r_a"))
     two = reps.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("registers").alias("r_b"))
 
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                x, y = _rows_of(batch.column("r_a")), _rows_of(batch.column("r_b"))
-                sizes = zip(batch.column("n_a").to_pylist(), batch.column("n_b").to_pylist())
-                good = [may_link(p, q, m, n, percent) for p, q, (m, n) in zip(x, y, sizes)]
-                yield batch.select(["a", "b"]).filter(pa.array(good))
+    def judged(batch: pa.RecordBatch):
+        x, y = _rows_of(batch.column("r_a")), _rows_of(batch.column("r_b"))
+        sizes = zip(batch.column("n_a").to_pylist(), batch.column("n_b").to_pylist())
+        good = [may_link(p, q, m, n, percent) for p, q, (m, n) in zip(x, y, sizes)]
+        yield batch.select(["a", "b"]).filter(pa.array(good))
 
-    return pairs.join(one, "a").join(two, "b").mapInArrow(run, "a long, b long")
+    return pairs.join(one, "a").join(two, "b").mapInArrow(lambda batches: tidily(batches, judged), "a long, b long")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

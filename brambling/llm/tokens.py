@@ -17,7 +17,7 @@ import pyarrow as pa
 from tokenizers import Tokenizer
 
 #: Pieces remembered by a Python worker; the cache is emptied when it is full.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 150_000
 _UNSAFE = re.compile("[^\x00-\x26\x28-\x7fÀ-ÖØ-öø-įı-ſ]")
 _SPACE, _LETTER, _NUMBER, _OTHER = 0, 1, 2, 3
 
