@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import map_texts, prepare, require
+from .common import ENCODED_BYTES, map_texts, prepare, require
 from .tokens import Encoder, vocabulary_path
 
 #: A chunk ends where this many low bits of the rolling hash are zero: 512 bytes on average.
@@ -181,7 +181,7 @@ def encode_decode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
         columns = [batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array(ids_sha), pa.array(decoded)]
         return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return map_texts(require(docs, "doc_id", "text"), run, _SCHEMA)
+    return map_texts(require(docs, "doc_id", "text"), run, _SCHEMA, ENCODED_BYTES)
 
 
 def encode_ids(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -193,7 +193,7 @@ def encode_ids(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
         lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.astype(np.int32)))
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], names=["doc_id", "ids"])
 
-    return map_texts(require(docs, "doc_id", "text"), run, "doc_id long, ids array<int>")
+    return map_texts(require(docs, "doc_id", "text"), run, "doc_id long, ids array<int>", ENCODED_BYTES)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

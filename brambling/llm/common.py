@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import sys
 import tempfile
 import uuid
@@ -16,6 +17,8 @@ from ..session import ship
 
 #: Text bytes handled at once inside a Python worker; bounds its memory whatever the batch size.
 SLICE_BYTES = 1 << 20
+#: The same for encoding, where each slice's distinct pieces are looked up once.
+ENCODED_BYTES = 4 << 20
 #: Rows in one Arrow batch; documents can be long, so the default of 10,000 is too many.
 BATCH_ROWS = 1000
 #: Bytes of one Arrow batch, about; a row is never cut.
@@ -26,8 +29,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Make the package importable on executors and keep Arrow batches small."""
     ship(spark)
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        now = spark.conf.get(key).rstrip("b")
-        if int(now) <= 0 or int(now) > most:
+        now = re.fullmatch(r"(\d+)b?", spark.conf.get(key))
+        if not now or not 0 < int(now[1]) <= most:
             spark.conf.set(key, str(most))
     return spark
 
@@ -60,8 +63,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def give_back() -> None:
     """Return a Python worker's free memory to the system; workers outlive their tasks."""
     pa.default_memory_pool().release_unused()
-    if sys.platform == "linux":
-        ctypes.CDLL(None).malloc_trim(0)
+    if sys.platform == "linux" and (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)):
+        trim(0)
 
 
 def tidily(batches: Iterator[pa.RecordBatch], function: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
@@ -74,12 +77,12 @@ def tidily(batches: Iterator[pa.RecordBatch], function: Callable[[pa.RecordBatch
         give_back()
 
 
-def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut a batch where its texts reach SLICE_BYTES."""
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut a batch where its texts reach ``most`` bytes, about."""
     sizes = [len(s) if s is not None else 0 for s in batch.column(column).to_pylist()]
     start = total = 0
     for i, size in enumerate(sizes):
-        if total and total + size > SLICE_BYTES:
+        if total and total + size > most:
             yield batch.slice(start, i - start)
             start, total = i, 0
         total += size
@@ -91,11 +94,11 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [s if s is not None else "" for s in batch.column(column).to_pylist()]
 
 
-def map_texts(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
+def map_texts(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, most: int = SLICE_BYTES) -> DataFrame:
     """Apply ``function`` to byte-bounded slices of each Arrow batch."""
 
     def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for part in slices(batch):
+        for part in slices(batch, most=most):
             out = function(part)
             if out is not None and out.num_rows:
                 yield out

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, prepare, require
+from .common import ENCODED_BYTES, map_texts, prepare, require
 from .tokens import Encoder, vocabulary_path
 
 #: Pieces of a group: enough for little padding, few enough for one task's memory.
@@ -79,7 +79,7 @@ def pieces(docs: DataFrame, capacity: int, end_id: int, vocabulary: str | None)
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "salt"]
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=names)
 
-    return map_texts(require(docs, "doc_id", "text"), cut, _PIECES)
+    return map_texts(require(docs, "doc_id", "text"), cut, _PIECES, ENCODED_BYTES)
 
 
 def pack(

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_texts, prepare, require, shared_folder
+from .common import ENCODED_BYTES, map_texts, prepare, require, shared_folder
 from .tokens import Encoder, vocabulary_path
 
 #: Bytes of text that one file takes at most, about; small inputs get a file for each shuffle partition.
@@ -69,7 +69,7 @@ def write_token_files(
 
     dictionary = encoding == "dictionary"
     (
-        map_texts(ordered, encode, "doc_id long, part long, n_tokens long, ids array<int>")
+        map_texts(ordered, encode, "doc_id long, part long, n_tokens long, ids array<int>", ENCODED_BYTES)
         .write.option("compression", "zstd")
         .option("parquet.enable.dictionary", str(dictionary).lower())
         .option("parquet.writer.version", "PARQUET_1_0" if dictionary else "PARQUET_2_0")
