@@ -1,4 +1,4 @@
-"""Nearest neighbours: exact, filtered, within a distance, and approximate over partitions."""
+"""Nearest neighbours: exact, filtered, within a distance, and over partitions."""
 
 from __future__ import annotations
 
@@ -86,15 +86,73 @@ def probes(centres: np.ndarray, query: Sequence[float], n: int) -> list[int]:
     return [int(i) for i in np.argsort(d, kind="stable")[:n]]
 
 
+def radii(parts: DataFrame, column: str, centres: np.ndarray) -> np.ndarray:
+    """Largest distance from its centroid of a vector of each partition; below zero where there is none.
+
+    Vectors with NaN elements don't count: they come last at any distance.
+    """
+    shared = ship(parts.sparkSession).sparkContext.broadcast(centres)
+
+    def run(batches):
+        for batch in batches:
+            good = [(p, v) for p, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if v is not None]
+            if good:
+                part = np.array([p for p, _ in good])
+                with np.errstate(invalid="ignore"):
+                    gap = np.sqrt(((np.array([v for _, v in good], float) - shared.value[part]) ** 2).sum(1))
+                most = np.full(len(shared.value), -np.inf)
+                np.fmax.at(most, part, gap)
+                held = np.unique(part)
+                yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(most[held])], names=["part", "gap"])
+
+    out = np.full(len(centres), -np.inf)
+    for r in parts.select("part", column).mapInArrow(run, "part int, gap double").groupBy("part").agg(F.max("gap").alias("gap")).collect():
+        out[r["part"]] = r["gap"]
+    return out
+
+
+def least_distances(centres: np.ndarray, reach: np.ndarray, query: Sequence[float], metric: str) -> np.ndarray:
+    """What a row of each partition is away from the query at least (less rounding); NaN if nothing is known."""
+    c, q = centres.astype(float), np.array(query, float)
+    size, own = np.sqrt((c**2).sum(1)), math.sqrt((q**2).sum())
+    with np.errstate(all="ignore"):
+        if metric == "l2":
+            least = np.sqrt(((c - q) ** 2).sum(1)) - reach - 1e-9 * (size + own + reach)
+        elif metric == "ip":
+            least = -(c @ q) - own * reach - 1e-9 * own * (size + reach)
+        elif metric == "cosine":
+            # The ball around a centroid lies in a cone around it, unless it holds the origin.
+            cone = np.where(reach < size, np.arcsin(np.clip(reach / size, 0, 1)), math.pi)
+            between = np.arccos(np.clip(c @ q / (size * own), -1, 1))
+            least = 1 - np.cos(np.maximum(0, between - cone)) - 1e-7
+        else:
+            raise ValueError(f"unknown metric: {metric}")
+    return np.where(reach < 0, np.inf, least)
+
+
 def nearest_probed(
     parts: DataFrame, key: str, column: str, centres: np.ndarray, query: Sequence[float], k: int, nprobe: int = 8,
-    metric: str = "l2", condition: Column | str | None = None, exact_rows: int = 2000,
+    metric: str = "l2", condition: Column | str | None = None, exact_rows: int = 2000, reach: np.ndarray | None = None,
 ) -> DataFrame:
-    """Approximate neighbours: partitions near the query are read, their rows ranked exactly.
+    """``nearest`` over partitions; exact.
+
+    The ``nprobe`` partitions near the query are read, then all others that can hold a row as near as
+    the k-th found.  ``reach``: ``radii`` of the partitions, found here (all rows are read) if not given.
 
     With a condition, a set of at most ``exact_rows`` rows is searched whole instead.
     """
     rows = parts if condition is None else parts.filter(condition)
     if condition is not None and rows.limit(exact_rows + 1).count() <= exact_rows:
         return nearest(rows, key, column, query, k, metric)
-    return nearest(rows.filter(F.col("part").isin(probes(centres, query, nprobe))), key, column, query, k, metric)
+    if k < 1 or len(centres) <= nprobe:
+        return nearest(rows, key, column, query, k, metric)
+    first = probes(centres, query, nprobe)
+    if condition is not None:
+        return nearest(rows.filter(F.col("part").isin(first)), key, column, query, k, metric)
+    found = nearest(rows.filter(F.col("part").isin(first)), key, column, query, k, metric)
+    found = found.filter("not isnan(distance)").agg(F.count("distance").alias("n"), F.max("distance").alias("last")).first()
+    if found["n"] < k:
+        return nearest(rows, key, column, query, k, metric)
+    least = least_distances(centres, radii(parts, column, centres) if reach is None else reach, query, metric)
+    near = [i for i in range(len(centres)) if i in first or not least[i] > found["last"]]
+    return nearest(rows.filter(F.col("part").isin(near)), key, column, query, k, metric)
