@@ -134,7 +134,7 @@ def nearest_probed(
     parts: DataFrame, key: str, column: str, centres: np.ndarray, query: Sequence[float], k: int, nprobe: int = 8,
     metric: str = "l2", condition: Column | str | None = None, exact_rows: int = 2000, reach: np.ndarray | None = None,
 ) -> DataFrame:
-    """``nearest`` over partitions; exact.
+    """``nearest`` over partitions; exact at any size, with and without a condition.
 
     The ``nprobe`` partitions near the query are read, then all others that can hold a row as near as
     the k-th found.  ``reach``: ``radii`` of the partitions, found here (all rows are read) if not given.
@@ -147,8 +147,6 @@ def nearest_probed(
     if k < 1 or len(centres) <= nprobe:
         return nearest(rows, key, column, query, k, metric)
     first = probes(centres, query, nprobe)
-    if condition is not None:
-        return nearest(rows.filter(F.col("part").isin(first)), key, column, query, k, metric)
     found = nearest(rows.filter(F.col("part").isin(first)), key, column, query, k, metric)
     found = found.filter("not isnan(distance)").agg(F.count("distance").alias("n"), F.max("distance").alias("last")).first()
     if found["n"] < k:

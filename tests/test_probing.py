@@ -54,3 +54,29 @@ def test_bounds(spark, metric):
         assert (least > every[9]["distance"]).sum() >= 10
         assert neighbours.nearest_probed(parts, "id", "v", centres, q, 10, 2, metric, reach=reach).collect() == every[:10]
     assert [row["id"] for row in neighbours.nearest_probed(parts, "id", "v", centres, q, 2002, 2, metric).collect()][2000:] == [2001, 2000]
+
+
+def test_many_partitions(vectors):
+    """As many partitions as a large table gets by default, few of them probed at first."""
+    rows = vectors.select("vec_id", "embedding").collect()
+    centres = neighbours.fit_centroids(vectors, "embedding", partitions=int(8 * len(rows) ** 0.5))
+    parts = neighbours.partitioned(vectors, "embedding", centres).cache()
+    reach = neighbours.radii(parts, "embedding", centres)
+    for row in rows[::400]:
+        found = neighbours.nearest_probed(parts, "vec_id", "embedding", centres, row["embedding"], 10, reach=reach).collect()
+        assert found == neighbours.nearest(vectors, "vec_id", "embedding", row["embedding"], 10).collect()
+
+
+def test_filter_far_from_the_query(spark):
+    """More than exact_rows rows satisfy the condition, most of them in partitions far from the query."""
+    r = np.random.RandomState(0)
+    spots = 20 * r.randn(30, 16)
+    x = (np.repeat(spots, 100, axis=0) + r.randn(3000, 16)).astype(np.float32)
+    near = np.argsort(((spots - spots[0]) ** 2).sum(1))[:5]
+    df = spark.createDataFrame([(i, i // 100 in near, v.tolist()) for i, v in enumerate(x)], "id int, close boolean, v array<float>").cache()
+    centres = neighbours.fit_centroids(df, "v", partitions=30)
+    parts = neighbours.partitioned(df, "v", centres).cache()
+    query = x[0].astype(float).tolist()
+    found = neighbours.nearest_probed(parts, "id", "v", centres, query, 10, nprobe=4, condition="not close").collect()
+    assert found == neighbours.nearest(df, "id", "v", query, 10, condition="not close").collect()
+    assert len(found) == 10
