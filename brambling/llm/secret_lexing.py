@@ -2,8 +2,9 @@
 
 Three base patterns (named assignments, access key ids, long hex runs) are always reported.  Around
 every assignment sign a lexer reads ``name = expression`` in source, JSON, YAML, INI, shell and
-environment syntax.  Expressions are string literals, bare words, names and ``+`` joins; names
-propagate the literals assigned to them earlier in the document.  A literal that reaches a sensitive
+environment syntax, with or without a type (``name: Type = expression``).  Expressions are string literals (with
+prefixes and triple quotes), bare words, names and ``+`` joins, also over line ends; names propagate
+the literals assigned to them earlier in the document.  A literal that reaches a sensitive
 name is scored by that name and its own shape, and reported as kind ``literal`` at its place.
 
 Defined results: null text is the empty text; no finding gives zero counts and an empty ``spans``;
@@ -28,12 +29,18 @@ _ACCESS = re.compile("AKIA[A-Z0-9]+")
 _HEX = re.compile("[0-9a-f]{32,}")
 _HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-#: A target name, its assignment sign, and where the expression begins.
-_TARGET = re.compile(r"""([A-Za-z_$][\w.$-]{0,80})(?:\[["']([\w.-]{1,80})["']\])?["']?[^\S\n]{0,8}(:=|=>|=|:)(?![=:/])[^\S\n]{0,8}""", re.A)
-_STRING = re.compile(r""""((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`""")
+#: A target name, its assignment sign, and where the expression begins.  A run of name characters is read once.
+_TARGET = re.compile(r"""(?<![\w.$-])[\d.-]*+([A-Za-z_$][\w.$-]*+)(?:\[["']([\w.-]++)["']\])?["']?[^\S\n]*+(:=|=>|=|:)(?![=:/])[^\S\n]*+""", re.A)
+#: A type between ``:`` and ``=``; without a blank before the sign it is a short word, as padded base64 isn't.
+_TYPE = re.compile(r"""(?:&(?:'\w++[^\S\n]++)?)?[A-Za-z_$][\w.$]*+(?:\[[^\n=:;{}"'\]]*+\]|<[^\n=:;{}"'>]*+>)*+[?!]?(?:[^\S\n]*+\|[^\S\n]*+[A-Za-z_$][\w.$]*+)*+([^\S\n]*+)=(?![=:>~])[^\S\n]*+""", re.A)
+_SHORT_TYPE = re.compile(r"[A-Za-z_$]{1,7}(?![\w.$])", re.A)
+_PREFIX = re.compile(r"""(?:[bB][rR]|[rR][bB]|[fF][rR]|[rR][fF]|u8|[bBfFrRuUL]|[@$]{1,2})?(?=["'`])""")
+_STRING = re.compile(r""""((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)'|`([^`\n]*+)`""")
 _BARE = re.compile(r"[A-Za-z0-9+/_.=~!@$%^*-]+", re.A)
 _NAME = re.compile(r"[A-Za-z_$][\w.$]*", re.A)
-_PLUS = re.compile(r"[^\S\n]*(?:\+|\.\.)[^\S\n]*")
+_OPEN = re.compile(r"(?:\(\s*+)*+")
+_PLUS = re.compile(r"(?:\s|\\\n)*+(?:\+|\.\.)(?:\s|\\\n)*+")
+_SIGN = re.compile(r"""["']?[^\S\n]*+(?::=|=>|=|:)(?![=:])""")
 _SPLIT_NAME = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 #: Parts of names and their weight; a name's score is that of its best part or pair of parts.
 SENSITIVE = {
@@ -42,57 +49,116 @@ SENSITIVE = {
     "api key": 1.0, "access key": 0.9, "private key": 1.0, "secret key": 1.0, "signing key": 0.9, "encryption key": 0.9,
     "auth key": 0.9, "client secret": 1.0, "connection string": 0.8,
 }
-_HARMLESS = re.compile(r"^(?:x+|\*+|<.*>|\$\{.*\}|\{\{.*\}\}|%.*%|.*(?:example|changeme|placeholder|your[_-]).*|none|null|true|false|undefined)$", re.I)
+_FRAMED = re.compile(r"^(?:<.*>|\$\{.*\}|\{\{.*\}\}|%.*%|none|null|true|false|undefined)$", re.I)
+_PLACEHOLDER = re.compile("example|changeme|placeholder|your[_-]", re.I)
+_FILLERS = ({"x", "X"}, {"*"})
+#: Characters kept of a value's ends; no placeholder is longer.
+_ENDS = 16
 THRESHOLD = 1.3
 
 
+class Value:
+    """A literal, or values joined: its places, and what its score needs of its text.
+
+    Joins share their parts, so values that grow by themselves take no more room than their source.
+    """
+
+    __slots__ = ("parts", "place", "size", "counts", "head", "tail", "placeholder")
+
+    def __init__(self, text: str = "", place: tuple[int, int] | None = None):
+        self.parts: tuple[Value, ...] = ()
+        self.place, self.size, self.counts = place, len(text), dict(Counter(text))
+        self.head, self.tail = text[:_ENDS], text[-_ENDS:]
+        self.placeholder = bool(_PLACEHOLDER.search(text))
+
+    @classmethod
+    def joined(cls, parts: list[Value]) -> Value:
+        if len(parts) == 1:
+            return parts[0]
+        out = cls()
+        out.parts = tuple(parts)
+        out.counts = dict(parts[0].counts)
+        for i, p in enumerate(parts):
+            out.placeholder = out.placeholder or p.placeholder or bool(_PLACEHOLDER.search(out.tail + p.head))
+            out.size += p.size
+            out.head = (out.head + p.head)[:_ENDS]
+            out.tail = (out.tail + p.tail)[-_ENDS:]
+            for c, n in p.counts.items() if i else ():
+                out.counts[c] = out.counts.get(c, 0) + n
+        return out
+
+
 def name_score(name: str) -> float:
     parts = [p.lower() for p in _SPLIT_NAME.findall(name)]
     pairs = [" ".join(p) for p in zip(parts, parts[1:])]
     return max((SENSITIVE.get(p, 0.0) for p in (*parts, *pairs)), default=0.0)
 
 
-def literal_score(value: str) -> float:
+def literal_score(value: Value) -> float:
     """0 to 1: length, mixture of character classes and entropy a character."""
-    if len(value) < 8 or _HARMLESS.match(value) or any(c.isspace() for c in value):
+    chars = value.counts
+    ends = value.head if value.size <= _ENDS else value.head + value.tail
+    if value.size < 8 or value.placeholder or _FRAMED.match(ends) or any(chars.keys() <= f for f in _FILLERS) or any(c.isspace() for c in chars):
         return 0.0
-    classes = sum(any(f(c) for c in value) for f in (str.islower, str.isupper, str.isdigit)) + (not value.isalnum())
-    entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in Counter(value).values())
+    classes = sum(any(f(c) for c in chars) for f in (str.islower, str.isupper, str.isdigit)) + (not all(c.isalnum() for c in chars))
+    entropy = -sum(n / value.size * math.log2(n / value.size) for n in chars.values())
     return min(1.0, 0.15 * classes + 0.15 * entropy)
 
 
-Part = tuple[str, int, int]  # a literal's text and place
-
-
-def _expression(text: str, at: int, known: dict[str, tuple[Part, ...]]) -> tuple[Part, ...]:
-    """The literals that an expression is made of."""
-    parts: list[Part] = []
+def _string(text: str, at: int, unclosed: set[str]) -> tuple[int, int, int] | None:
+    """(start, end, place behind the closing quotes) of a string literal; triple quotes may span lines."""
+    if not (m := _PREFIX.match(text, at)):
+        return None
+    mark = text[m.end() : m.end() + 3]
+    if mark in ('"""', "'''") and mark not in unclosed:
+        if (end := text.find(mark, m.end() + 3)) >= 0:
+            return m.end() + 3, end, end + 3
+        unclosed.add(mark)
+    m = _STRING.match(text, m.end())
+    return m and (m.start(m.lastindex), m.end(m.lastindex), m.end())
+
+
+def _expression(text: str, at: int, known: dict[str, Value], unclosed: set[str]) -> Value | None:
+    """The literals that an expression is made of, joined."""
+    parts: list[Value] = []
+    inner = _OPEN.match(text, at).end()
+    opened, at, wrapped = inner > at, inner, False
     while True:
-        if m := _STRING.match(text, at):
-            group = m.lastindex
-            parts.append((m[group], m.start(group), m.end(group)))
-        elif (m := _NAME.match(text, at)) and m[0] in known:
-            parts += known[m[0]]
-        elif not parts and (m := _BARE.match(text, at)):
-            return ((m[0], m.start(), m.end()),)
+        if found := _string(text, at, unclosed):
+            start, stop, end = found
+            parts.append(Value(text[start:stop], (start, stop)))
+        elif (m := _NAME.match(text, at)) and m[0] in known and not (wrapped and _SIGN.match(text, m.end())):
+            parts.append(known[m[0]])
+            end = m.end()
+        elif not parts and not opened and (m := _BARE.match(text, at)):
+            return Value(m[0], m.span())
         else:
-            return tuple(parts)
-        joined = _PLUS.match(text, m.end())
-        if not joined or len(parts) > 64:
-            return tuple(parts)
-        at = joined.end()
+            break
+        if not (joint := _PLUS.match(text, end)):
+            break
+        at, wrapped = joint.end(), "\n" in joint[0]
+    return Value.joined(parts) if parts else None
+
+
+def _typed(text: str, at: int) -> int | None:
+    """Where the value begins behind an annotation's type."""
+    m = _TYPE.match(text, at)
+    return m.end() if m and (m[1] or _SHORT_TYPE.match(text, at)) else None
 
 
-def assignments(text: str) -> list[tuple[str, tuple[Part, ...]]]:
+def assignments(text: str) -> list[tuple[str, Value]]:
     """(name, literals that reach it), constants propagated in order."""
-    known: dict[str, tuple[Part, ...]] = {}
+    known: dict[str, Value] = {}
+    unclosed: set[str] = set()
     out = []
-    for m in _TARGET.finditer(text):
-        parts = _expression(text, m.end(), known)
-        if parts:
-            name = m[2] or m[1]
-            known[m[1]] = parts
-            out.append((name, parts))
+    at = 0
+    while m := _TARGET.search(text, at):
+        at, value = m.end(), None
+        if m[3] == ":" and (behind := _typed(text, at)) and (value := _expression(text, behind, known, unclosed)):
+            at = behind
+        if value := value or _expression(text, at, known, unclosed):
+            known[m[1]] = value
+            out.append((m[2] or m[1], value))
     return out
 
 
@@ -112,9 +178,16 @@ def literal_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int
     if "=" not in text and ":" not in text:
         return []
     found = set()
-    for name, parts in assignments(text):
-        if (weight := name_score(name)) and weight + literal_score("".join(p[0] for p in parts)) >= THRESHOLD:
-            found |= {(a, 3, b) for _, a, b in parts if b > a}
+    seen: set[Value] = set()
+    for name, value in assignments(text):
+        if (weight := name_score(name)) and weight + literal_score(value) >= THRESHOLD:
+            reached = [value]
+            while reached:
+                if (v := reached.pop()) not in seen:
+                    seen.add(v)
+                    reached += v.parts
+                    if v.place and v.size:
+                        found.add((v.place[0], 3, v.place[1]))
     starts = sorted(base)
     return sorted(s for s in found if not any(a < s[2] and s[0] < b for a, _, b in starts))
 
