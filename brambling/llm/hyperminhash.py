@@ -17,8 +17,8 @@ from alternating large-star and small-star steps.  Exact copies are one node fro
 Defined results: null and word-less texts have an empty set and are linked with nothing, as are rows
 with a null ``doc_id`` (component null, kept); repeated rows share one result; ties go to the
 smallest ``doc_id``; an empty table gives no rows; other columns are ignored.  A ``doc_id`` names one
-document: where it repeats with different texts, copies of each are found, and the text with the
-smallest fingerprint stands for it in links between different texts.
+document: where it repeats with different texts, each row is judged by its own text, and a component
+is named by the smallest ``doc_id`` that is the first of one of its texts.
 """
 
 from __future__ import annotations
@@ -200,8 +200,29 @@ def full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     return map_texts(chosen, cut, "id long, hashes binary, fp binary")
 
 
+def _several_texts(known: DataFrame) -> bool:
+    """Whether any document has different sets."""
+    mark = F.xxhash64("fp")
+    each = known.filter("fp is not null and doc_id is not null").groupBy("doc_id").agg(F.min(mark).alias("low"), F.max(mark).alias("high"))
+    return not each.filter("low != high").isEmpty()
+
+
+def _by_node(rows: DataFrame, first: DataFrame) -> DataFrame:
+    """One row for each node, from rows of its first document with its own set."""
+    rest = [c for c in rows.columns if c not in ("id", "fp")]
+    nodes = first.withColumnRenamed("owner", "id")
+    return rows.join(nodes, ["id", "fp"]).groupBy("node").agg(F.any_value(F.struct(*rest)).alias("row_")).select(F.col("node").alias("id"), "row_.*")
+
+
+def _named(found: DataFrame, first: DataFrame) -> DataFrame:
+    """``node, component``: components of nodes, named by the smallest first document."""
+    every = checkpointed(found.unionByName(found.select(F.col("component").alias("id"), "component").distinct()).withColumnRenamed("id", "node"))
+    names = every.join(first, "node").groupBy("component").agg(F.min("owner").alias("name"))
+    return every.join(names, "component").select("node", F.col("name").alias("component"))
+
+
 def _one_text(rows: DataFrame, again: bool) -> DataFrame:
-    """One row for each id, where ids repeat: that of the smallest fingerprint."""
+    """One row for each id, where rows repeat."""
     rest = [c for c in rows.columns if c not in ("id", "fp")]
     if not again:
         return rows.select("id", *rest)
@@ -333,25 +354,42 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     known = checkpointed(sketches(docs, words, percent))
     first = known.filter("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("owner"))
     # Every row with the first document of its set: copies are one node from here on.
-    owned = checkpointed(known.select("doc_id", "n", "fp").join(first, "fp", "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("owner")).alias("owner")))
-    copies = owned.filter("doc_id != owner").select(F.col("doc_id").alias("id")).distinct()
-    again = not owned.filter("doc_id = owner").groupBy("doc_id").count().filter("count > 1").isEmpty()
+    if several := _several_texts(known):
+        # A document has a node for each of its texts.
+        first = checkpointed(first.withColumn("node", F.monotonically_increasing_id()))
+    else:
+        first = first.withColumn("node", F.col("owner"))
+    own = [F.when(F.col("doc_id").isNotNull(), F.col(c)).alias(c) for c in (["owner", "node"] if several else ["owner"])]
+    owned = checkpointed(known.select("doc_id", "n", "fp").join(first, "fp", "left").select("doc_id", "n", *own))
     sketched = known.filter("registers is not null and doc_id is not null").select(F.col("doc_id").alias("id"), "n", "registers", "fp")
-    reps = _one_text(sketched.join(_small(copies), "id", "left_anti"), again)
+    if several:
+        reps = checkpointed(_by_node(sketched, first))
+    else:
+        copies = owned.filter("doc_id != owner").select(F.col("doc_id").alias("id")).distinct()
+        again = not owned.filter("doc_id = owner").groupBy("doc_id").count().filter("count > 1").isEmpty()
+        reps = _one_text(sketched.join(_small(copies), "id", "left_anti"), again)
     pairs = checkpointed(centres(banded(reps, bands_for(percent))))
     ids = checkpointed(pairs.select("id").unionByName(pairs.select(F.col("centre").alias("id"))).distinct())
-    sets = checkpointed(_one_text(full_sets(docs, ids, words), again))
+    if several:
+        owners = ids.join(first.withColumnRenamed("node", "id"), "id").select(F.col("owner").alias("id")).distinct()
+        sets = checkpointed(_by_node(full_sets(docs, owners, words), first))
+    else:
+        sets = checkpointed(_one_text(full_sets(docs, ids, words), again))
     stars = checkpointed(compared(pairs, sets, percent))
     others = estimated(member_pairs(stars, percent), reps, percent)
     links = stars.filter("linked").select(F.col("centre").alias("a"), F.col("id").alias("b")).unionByName(confirmed(others, sets, percent))
-    found = components(links).withColumnRenamed("id", "owner")
+    found = components(links)
+    found = _named(found, first) if several else found.withColumnRenamed("id", "owner")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "owner", "doc_id"))
-    placed = owned.join(found, "owner", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    placed = owned.join(found, "node" if several else "owner", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
     return placed.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The documents, whole rows, with one of each group; repeated rows are one document."""
+    """The documents, whole rows, with one of each group; repeated rows are one document.
+
+    An id with different texts stays whole where any of its rows is kept.
+    """
     found = checkpointed(near_duplicates(docs, words, percent)).filter("doc_id is not null").groupBy("doc_id")
     judged = checkpointed(found.agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n")))
     kept = docs.join(_small(judged.filter("not kept").select("doc_id")), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
