@@ -6,8 +6,9 @@ stays in a worker's bounded cache.  A join inside a word (neither side has white
 repaired: the two part words are encoded again as one, and the word grows over further chunks until
 its ends are white space, where the encodings of both sides agree with that of the whole text.
 
-Defined results: null text is the empty text (no ids, empty decoded text); texts outside the safe
-alphabet are encoded whole by the library; equal texts give equal values; other columns are ignored.
+Defined results: null text is the empty text (no ids, empty decoded text); texts that only the
+library splits (``tokens``: not in NFC, special tokens, characters newer than the tables) are encoded
+whole by it; equal texts give equal values; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import ENCODED_BYTES, map_texts, prepare, require
-from .tokens import Encoder, vocabulary_path
+from .tokens import LIBRARY, Encoder, vocabulary_path
 
 #: A chunk ends where this many low bits of the rolling hash are zero: 512 bytes on average.
 MASK_BITS = 9
@@ -99,7 +100,7 @@ class ChunkEncoder:
         return out
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        safe = [self.words.safe(t) for t in texts]
+        safe = [self.words.kind(t) != LIBRARY for t in texts]
         split = [split_chunks(t.encode()) if ok else [] for t, ok in zip(texts, safe)]
         wanted = {c for chunks in split for c in chunks}
         fresh = [c for c in wanted if c not in self.chunks]

@@ -18,7 +18,7 @@ from ..session import ship
 #: Text bytes handled at once inside a Python worker; bounds its memory whatever the batch size.
 SLICE_BYTES = 1 << 20
 #: The same for encoding, where each slice's distinct pieces are looked up once.
-ENCODED_BYTES = 4 << 20
+ENCODED_BYTES = 2 << 20
 #: Rows in one Arrow batch; documents can be long, so the default of 10,000 is too many.
 BATCH_ROWS = 1000
 #: Bytes of one Arrow batch, about; a row is never cut.

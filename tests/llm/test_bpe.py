@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
 from brambling.llm import chunk_bpe as c
-from brambling.llm.tokens import Encoder, vocabulary_path
+from brambling.llm.tokens import _UNKNOWN, LATIN, LIBRARY, WIDE, Encoder, vocabulary_path
 
 from .conftest import LONG, odd_texts
 
@@ -34,6 +36,44 @@ def test_fuzz(library):
         assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == ids_of(library, texts)
 
 
+def test_every_known_character(library):
+    """Classes, lower case and contractions of all characters that tables describe."""
+    encoder = Encoder(vocabulary_path())
+    points = np.flatnonzero(encoder.points[0] != _UNKNOWN).tolist()
+    assert len(points) > 50_000
+    texts = [f"a{chr(p)}b 1{chr(p)}2 '{chr(p)}s x's{chr(p)}" for p in points]
+    ids, at = encoder.encode(texts)
+    assert [p for p, a, b, want in zip(points, at[:-1], at[1:], library.encode_batch_fast(texts, add_special_tokens=False)) if ids[a:b].tolist() != want.ids] == []
+
+
+def test_scripts_marks_and_contractions(library):
+    r = random.Random(5)
+    known = "abcdstvmrelABC 'éßÀαβΣςжЖ中文字한글אבمرحबाहिन्दी' \n\t0123٣४.,!?“”’—😀…\u00a0\u2003e\u0301\u200b𝒜İſ"
+    texts = ["".join(r.choice(known) for _ in range(r.randrange(80))) for _ in range(4000)]
+    texts += ["it's they'll WE'VE i'm he'd don't 'tis ''s \"'s 's' a'sb 'llama 're've 'l 'r '", "Ελλάδα Σίσυφος", "naïve café", "<|endoftext|> don’t", "\ud7a3\u1100\u1161"]
+    for encode in (Encoder(vocabulary_path()).encode, c.ChunkEncoder(vocabulary_path()).encode):
+        ids, at = encode(texts)
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == ids_of(library, texts)
+    kinds = [Encoder.of(vocabulary_path()).kind(t) for t in ("don't", "Здравствуй 世界 “x” 😀", "e\u0301", "<|endoftext|>")]
+    assert kinds == [LATIN, WIDE, LIBRARY, LIBRARY]
+
+
+def test_merges_of_repeated_letters(library):
+    words = ["a" * n for n in range(1, 60)] + ["abab" * n for n in range(1, 20)] + ["hahahahah", "lll", "x" * 47, "x" * 48, "x" * 49]
+    ids, at = Encoder(vocabulary_path()).encode([" ".join(words)])
+    assert ids.tolist() == ids_of(library, [" ".join(words)])[0]
+
+
+def test_other_files_go_to_the_library(tmp_path, library):
+    spec = json.loads(Path(vocabulary_path()).read_text())
+    spec["normalizer"] = {"type": "Lowercase"}
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(spec))
+    encoder = Encoder(str(other))
+    assert encoder.kind("plain") == LIBRARY
+    assert encoder.encode(["a\u00a0B", ""])[0].tolist() == Tokenizer.from_file(str(other)).encode("a\u00a0B", add_special_tokens=False).ids
+
+
 def test_chunks_are_reused(library):
     r = random.Random(1)
     passages = [" ".join(f"w{r.randrange(9999)}" for _ in range(1500)) for _ in range(4)]
