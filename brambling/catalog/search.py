@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import folded, text
 from ..operators import counts, facets, neighbours, ranking
+from ..sources.tables import spread
 from .registry import Tables, query
 
 _SQL_TOKENS = r"(SELECT *, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS tok FROM documents)"
 
 
 def _tokens(t: Tables):
-    return t.documents.select("doc_id", "lang", "source", text.vector(F.col("text")).alias("tok"))
+    return spread(t.documents.select("doc_id", "lang", "source", "text")).select("doc_id", "lang", "source", text.vector(F.col("text")).alias("tok"))
+
+
+def _folded(t: Tables):
+    return folded.with_folded(spread(t.documents.select("doc_id", "lang", "source", "text")), F.col("text"), "words")
 
 
 def _holds(w: str) -> str:
@@ -31,9 +36,8 @@ def _follows(a: str, b: str, n: int) -> str:
     count(*) FILTER (WHERE len(list_filter(tok, lambda w: starts_with(w, 'whth'))) > 0) AS prefix FROM {_SQL_TOKENS}""",
 )
 def fts_boolean(t: Tables):
-    tok = F.col("tok")
     queries = {"and_": "the & with", "or_": "der | les", "and_not": "the & !with", "not_": "!The", "tree": "(the | die) & (was | und)", "prefix": "whth:*"}
-    return counts.filtered_counts(_tokens(t), {k: text.matches(tok, q) for k, q in queries.items()})
+    return counts.filtered_counts(_folded(t), {k: folded.matches(F.col("words"), q) for k, q in queries.items()})
 
 
 @query(
@@ -43,8 +47,8 @@ def fts_boolean(t: Tables):
     FROM {_SQL_TOKENS}""",
 )
 def fts_phrase(t: Tables):
-    tok = F.col("tok")
-    return counts.filtered_counts(_tokens(t), {"next_": text.matches(tok, "of <-> the"), "third": text.matches(tok, "the <3> and"), "longer": text.matches(tok, "to <-> the <-> (of | and)")})
+    queries = {"next_": "of <-> the", "third": "the <3> and", "longer": "to <-> the <-> (of | and)"}
+    return counts.filtered_counts(_folded(t), {k: folded.matches(F.col("words"), q) for k, q in queries.items()})
 
 
 @query(
@@ -52,14 +56,14 @@ def fts_phrase(t: Tables):
     f"""SELECT count(*) FILTER (WHERE source = 'src3' OR {_holds('src5')}) AS a, count(*) FILTER (WHERE {_holds('the')}) AS d, count(*) FILTER (WHERE false) AS never FROM {_SQL_TOKENS}""",
 )
 def fts_weights(t: Tables):
-    both = t.documents.select(text.joined(text.vector(F.col("source"), "A"), text.vector(F.col("text"))).alias("tok"))
+    both = spread(t.documents.select("source", "text")).select(text.joined(text.vector(F.col("source"), "A"), text.vector(F.col("text"))).alias("tok"))
     tok = F.col("tok")
     return counts.filtered_counts(both, {"a": text.matches(tok, "src3:A | src5:D"), "d": text.matches(tok, "the:d"), "never": text.matches(text.strip(tok), "the:D")})
 
 
 @query("fts_any", f"SELECT lang, count(*) AS n FROM {_SQL_TOKENS} WHERE {_holds('the')} AND {_holds('with')} OR {_holds('nicht')} GROUP BY 1")
 def fts_any(t: Tables):
-    return counts.group_counts(_tokens(t), "lang", condition=text.matches_any(F.col("tok"), ["the & with", "nicht"]))
+    return counts.group_counts(_folded(t), "lang", condition=folded.matches_any(F.col("words"), ["the & with", "nicht"]))
 
 
 @query("facet_lexemes", f"SELECT key, count(*) AS n FROM (SELECT unnest(list_distinct(tok)) AS key FROM {_SQL_TOKENS} WHERE lang = 'en') GROUP BY 1 ORDER BY n DESC, key LIMIT 15")
@@ -86,17 +90,17 @@ def _rounded(df):
 
 @query("bm25_topk", _bm25_sql(["with", "that", "nicht"]))
 def bm25_topk(t: Tables):
-    return _rounded(ranking.bm25(_tokens(t), "doc_id", F.col("tok"), "with | that | nicht", 10))
+    return _rounded(ranking.bm25(spread(t.documents.select("doc_id", "text")), "doc_id", F.col("text"), "with | that | nicht", 10))
 
 
 @query("bm25_match", _bm25_sql(["that", "was"], match=f"{_holds('that')} AND {_holds('was')} AND NOT {_holds('with')}"))
 def bm25_match(t: Tables):
-    return _rounded(ranking.bm25(_tokens(t), "doc_id", F.col("tok"), "that & was & !with", 10, match=True))
+    return _rounded(ranking.bm25(spread(t.documents.select("doc_id", "text")), "doc_id", F.col("text"), "that & was & !with", 10, match=True))
 
 
 @query("bm25_filtered", _bm25_sql(["with", "that"], where="source = 'src3'", k=5))
 def bm25_filtered(t: Tables):
-    return _rounded(ranking.bm25(_tokens(t), "doc_id", F.col("tok"), "with | that", 5, condition=F.col("source") == "src3"))
+    return _rounded(ranking.bm25(spread(t.documents.select("doc_id", "text", "source")), "doc_id", F.col("text"), "with | that", 5, condition=F.col("source") == "src3"))
 
 
 # A fixed query vector of 64 numbers.

@@ -57,6 +57,11 @@ def lexemes(tokens: Column) -> Column:
     return F.array_distinct(spelled(tokens))
 
 
+def length(tokens: Column) -> Column:
+    """Number of tokens."""
+    return F.size(tokens)
+
+
 def holds(tokens: Column, word: str) -> Column:
     return F.array_contains(spelled(tokens), word)
 
@@ -169,32 +174,64 @@ def _is(t: Column, term: Term) -> Column:
     return same & F.coalesce(t["w"].isin(list(term.weights)), F.lit(False)) if term.weights else same
 
 
-def _moved(positions: Column, n: int) -> Column:
-    return F.transform(positions, lambda p: p + n)
+def _moved(positions: Column, n: Column | int) -> Column:
+    return positions if isinstance(n, int) and n == 0 else F.transform(positions, lambda p: p + n)
+
+
+def _found(positions: Column) -> Column:
+    return F.size(positions) > 0
+
+
+@dataclass(frozen=True)
+class _Places:
+    """Where a part of a phrase ends (``negated``: everywhere else), and how far before that it begins."""
+
+    ends: Column
+    width: Column | int
+    negated: bool = False
+
+
+def _wider(a: Column | int, b: Column | int) -> Column | int:
+    if isinstance(a, int) and isinstance(b, int):
+        return max(a, b)
+    return F.greatest(*[F.lit(x) if isinstance(x, int) else x for x in (a, b)])
+
 
+def _both(left: Column, right: Column, l_not: bool, r_not: bool) -> tuple[Column, bool]:
+    """Places of both parts; (places, whether they are those left out)."""
+    if l_not and r_not:
+        return F.array_union(left, right), True
+    if l_not:
+        return F.array_except(right, left), False
+    return (F.array_except(left, right) if r_not else F.array_intersect(left, right)), False
 
-def _positions(tokens: Column, query: Query) -> Column:
-    """Places where a part of a phrase ends."""
+
+def _places(tokens: Column, query: Query) -> _Places:
+    """Parts of a phrase: words end where they stand, both sides of AND and OR begin together."""
     if isinstance(query, Term):
         hits = F.filter(tokens, lambda t: _is(t, query) & t["pos"].isNotNull())
-        return F.array_distinct(F.transform(hits, lambda t: t["pos"]))
+        return _Places(F.array_distinct(F.transform(hits, lambda t: t["pos"])), 0)
+    if isinstance(query, Not):
+        part = _places(tokens, query.part)
+        fixed = isinstance(part.width, int) and part.width == 0
+        return _Places(part.ends, part.width if fixed else F.when(_found(part.ends), part.width).otherwise(0), not part.negated)
+    left, right = _places(tokens, query.left), _places(tokens, query.right)
+    if isinstance(query, Phrase):
+        behind = query.distance + right.width
+        ends, negated = _both(_moved(left.ends, behind), right.ends, left.negated, right.negated)
+        return _Places(ends, behind + left.width, negated)
+    widths = [left.width, right.width]
     if isinstance(query, Or):
-        return F.array_union(_positions(tokens, query.left), _positions(tokens, query.right))
+        # A part that isn't found has no width.
+        widths = [w if p.negated or (isinstance(w, int) and w == 0) else F.when(_found(p.ends), w).otherwise(0) for p, w in zip((left, right), widths)]
+    most = _wider(*widths)
+    a, b = (_moved(p.ends, most - w) for p, w in zip((left, right), widths))
     if isinstance(query, And):
-        if isinstance(query.right, Not):
-            return F.array_except(_positions(tokens, query.left), _positions(tokens, query.right.part))
-        return F.array_intersect(_positions(tokens, query.left), _positions(tokens, query.right))
-    if isinstance(query, Phrase):
-        n = query.distance
-        if isinstance(query.left, Not) and not isinstance(query.right, Not):
-            right, left = _positions(tokens, query.right), _positions(tokens, query.left.part)
-            return F.array_except(right, _moved(left, n))
-        if isinstance(query.right, Not) and not isinstance(query.left, Not):
-            left, right = _positions(tokens, query.left), _positions(tokens, query.right.part)
-            return F.array_except(_moved(left, n), right)
-        left, right = _positions(tokens, query.left), _positions(tokens, query.right)
-        return F.array_intersect(right, _moved(left, n))
-    raise ValueError("NOT of both sides of a phrase is not supported")
+        ends, negated = _both(a, b, left.negated, right.negated)
+        return _Places(ends, most, negated)
+    # a OR b is NOT (NOT a AND NOT b).
+    ends, negated = (F.array_union(a, b), True) if not (left.negated or right.negated) else _both(a, b, not left.negated, not right.negated)
+    return _Places(ends, most, not negated)
 
 
 def matches(tokens: Column, query: str | Query) -> Column:
@@ -211,7 +248,8 @@ def matches(tokens: Column, query: str | Query) -> Column:
             return truth(q.left) & truth(q.right)
         if isinstance(q, Or):
             return truth(q.left) | truth(q.right)
-        return F.size(_positions(tokens, q)) > 0
+        places = _places(tokens, q)
+        return F.lit(True) if places.negated else _found(places.ends)
 
     return F.when(tokens.isNotNull(), F.lit(False) if parsed is None else truth(parsed))
 

@@ -13,6 +13,16 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A small table dealt to all cores, for work that costs more than moving its rows.
+
+    A file is read by one task for each row group at most.  A table with as many splits as there are
+    cores, as any large one has, is left as it is: nothing is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def save_partitioned(df: DataFrame, path: str, by: Sequence[str], files: int | None = None, mode: str = "overwrite") -> None:
     """Write a table partitioned by a column of few values, so filters on it skip folders.
 

@@ -11,7 +11,7 @@ from datetime import date, datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from brambling.functions import arrays, days, distance, documents, predicates, text
+from brambling.functions import arrays, days, distance, documents, folded, predicates, text
 from brambling.plans.ranges import range_filter
 
 from .conftest import rows
@@ -211,14 +211,22 @@ def naive(q, tokens) -> bool:
     def is_(t, term):
         return (t[0].startswith(term.lexeme) if term.prefix else t[0] == term.lexeme) and (not term.weights or t[2] in term.weights)
 
-    def places(q) -> set:
+    everywhere = set(range(-40, 80))
+
+    def spans(q) -> tuple[set, int]:
+        """Where a part begins, of all places there are, and its width (0 if it isn't found)."""
         if isinstance(q, text.Term):
-            return {t[1] for t in tokens if is_(t, q)}
+            return {t[1] for t in tokens if is_(t, q)}, 0
+        if isinstance(q, text.Not):
+            starts, width = spans(q.part)
+            return {p - width for p in everywhere - {s + width for s in starts}}, width
+        (left, lw), (right, rw) = spans(q.left), spans(q.right)
         if isinstance(q, text.Or):
-            return places(q.left) | places(q.right)
+            return left | right, max(lw, rw)
         if isinstance(q, text.And):
-            return places(q.left) & places(q.right)
-        return {p for p in places(q.right) if p - q.distance in places(q.left)}
+            return left & right, max(lw, rw)
+        starts = {p for p in left if p + lw + q.distance in right}
+        return starts, lw + q.distance + rw if starts else 0
 
     if isinstance(q, text.Term):
         return any(is_(t, q) for t in tokens)
@@ -228,17 +236,17 @@ def naive(q, tokens) -> bool:
         return naive(q.left, tokens) and naive(q.right, tokens)
     if isinstance(q, text.Or):
         return naive(q.left, tokens) or naive(q.right, tokens)
-    return bool(places(q))
+    return bool(spans(q)[0])
 
 
 def random_query(r, depth: int, positional: bool = False) -> str:
     if depth == 0 or r.random() < 0.3:
         w = r.choice([*VOCABULARY, "absent"])
         return w + r.choice(["", "", ":*", ":A", ":BD"]) if not positional else w
-    kind = r.choice(["&", "|", "<->", "<2>"]) if not positional else r.choice(["|", "<->", "<2>"])
+    kind = r.choice(["&", "|", "<->", "<2>"]) if not positional else r.choice(["|", "&", "<->", "<->", "<2>"])
     inside = positional or kind[0] == "<"
     part = f"({random_query(r, depth - 1, inside)} {kind} {random_query(r, depth - 1, inside)})"
-    return f"!{part}" if not inside and r.random() < 0.2 else part
+    return f"!{part}" if r.random() < 0.2 else part
 
 
 def test_text_fuzz(spark):
@@ -256,6 +264,34 @@ def test_text_fuzz(spark):
         assert got[-1][i] is None
 
 
+def test_folded_fuzz(spark):
+    """Folded texts give what their tokens give, for words, prefixes, weights, phrases and negations."""
+    r = random.Random(11)
+    seen = [*VOCABULARY, "w1x", "é", "日本"]
+    docs = [r.choice(["", " ", "-- "]) + r.choice([" ", ", ", "\n\t"]).join(r.choice(seen).upper() for _ in range(r.choice([0, 1, 3, 8, 13]))) for _ in range(120)]
+    df = spark.createDataFrame(list(enumerate([*docs, None])), "id int, t string").select("id", "t", text.vector(F.col("t")).alias("tok"), folded.fold(F.col("t")).alias("f")).cache()
+    queries = [random_query(r, 3) for _ in range(14)] + ["w1 <-> w2", "w1 <3> w2", "w0 <2> (w1 | w3) <-> w2", "w1:* <-> w2", "w1 <-> w2:*", "w1:D <-> w2:A", "é | 日本", "", "!w1 <-> !w2", "w0 <0> w0", "(w1 | w2 <-> !w3) <-> w4"]
+    for part in (queries[:14], queries[14:]):
+        both = df.orderBy("id").select(*[F.struct(text.matches(F.col("tok"), q), folded.matches(F.col("f"), q)) for q in part]).collect()
+        for i, q in enumerate(part):
+            assert [x[i][0] for x in both] == [x[i][1] for x in both], q
+    facts = df.select(F.struct(F.size("tok"), folded.length(F.col("f"))), *[F.struct(text.occurrences(F.col("tok"), w), folded.occurrences(F.col("f"), w)) for w in seen])
+    assert all(a == b for row in facts.collect() for a, b in row)
+    assert holds(df, folded.matches_any(F.col("f"), ["w1", "w2 & w3"])) == holds(df, text.matches_any(F.col("tok"), ["w1", "w2 & w3"]))
+    assert holds(df, folded.tokens(F.col("f"))) == holds(df, F.col("tok"))
+
+
+def test_phrase_parts_begin_together(spark):
+    """Right operands of phrases are placed by their beginnings, alternatives too."""
+    for t, q, want in (
+        ("a b c", "a <-> (b <-> c)", True), ("a c b", "a <-> (b <-> c)", False), ("a b c d", "(a <-> b) <2> d", True), ("x q", "(x | y <-> !z) <-> q", True),
+        ("x y q", "(x | y <-> !z) <-> q", True), ("x y q y", "!x <-> y", True), ("x y q y", "!x <-> !y", True), ("x y q y", "!x <-> !!y", True),
+        ("x y q y", "!(x <-> y)", False), ("x y q y", "!(x <-> !y)", True),
+    ):
+        df = spark.createDataFrame([(0, t)], "id int, t string").select("id", text.vector(F.col("t")).alias("tok"), folded.fold(F.col("t")).alias("f"))
+        assert holds(df, text.matches(F.col("tok"), q)) == holds(df, folded.matches(F.col("f"), q)) == [want], q
+
+
 def test_text_functions(spark):
     df = spark.createDataFrame([(0, "The cat, the HAT"), (1, ""), (2, None)], "id int, t string")
     tok = text.vector(F.col("t"))
