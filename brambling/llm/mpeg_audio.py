@@ -2,12 +2,13 @@
 
 ``scan`` reads any MPEG-1/2/2.5 stream (layers I to III): it parses an ID3v2 tag in front and an
 ID3v1 tag behind, finds frame headers again after damage (a header counts when the next one follows
-where its length says, or the stream ends there), verifies the CRC-16 of protected frames and reads
-a Xing/Info or VBRI table.  ``store_payload`` keeps bytes losslessly as the ancillary data of silent
+where its length says, or the stream ends there), verifies the CRC-16 of protected frames of all
+layers and reads a Xing/Info or VBRI table.  A free-format stream's frame length is the distance of
+its first two headers, once a third (or the end) follows at the same distance.  ``store_payload`` keeps bytes losslessly as the ancillary data of silent
 layer III frames (one byte is the unit), with a tag that holds the length and a Xing table.
 
 Defined results: null audio or text is the empty byte string; bytes without any frame give zero
-frames, duration 0 and no offsets; equal inputs give equal values; other columns are ignored.
+frames, duration 0 and no offsets, as does a lone free-format frame; equal inputs give equal values; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -47,23 +48,63 @@ class Header:
     size: int
     samples: int
     side: int  # bytes of layer III side information
+    bound: int = 32  # first subband whose bit allocation both channels share
 
 
 @lru_cache(65536)
-def parse_header(raw: bytes) -> Header | None:
-    """The header in four bytes, or None; free-format streams (bitrate 0) have no stated size."""
+def parse_header(raw: bytes, free_bytes: int = 0) -> Header | None:
+    """The header in four bytes, or None; a free-format one (bitrate 0) needs its unpadded size."""
     word = int.from_bytes(raw, "big")
     version, layer = word >> 19 & 3, 4 - (word >> 17 & 3)
     bitrate, rate_index = word >> 12 & 15, word >> 10 & 3
-    if word >> 21 != 0x7FF or version == 1 or layer == 4 or bitrate in (0, 15) or rate_index == 3 or word & 3 == 2:
+    if word >> 21 != 0x7FF or version == 1 or layer == 4 or bitrate == 15 or rate_index == 3 or word & 3 == 2 or (not bitrate and not free_bytes):
         return None
     first = 1 if version == 3 else 2
     kbps, rate = _KBPS[first, layer][bitrate], _RATES[version][rate_index]
-    mono, pad = word >> 6 & 3 == 3, word >> 9 & 1
+    mode, pad = word >> 6 & 3, word >> 9 & 1
     samples = 384 if layer == 1 else 576 if layer == 3 and first == 2 else 1152
-    size = (12 * kbps * 1000 // rate + pad) * 4 if layer == 1 else samples // 8 * kbps * 1000 // rate + pad
+    if bitrate:
+        size = (12 * kbps * 1000 // rate + pad) * 4 if layer == 1 else samples // 8 * kbps * 1000 // rate + pad
+    else:
+        size = free_bytes + pad * _slot(layer)
+        kbps = round(free_bytes * 8 * rate / samples / 1000)
+    mono = mode == 3
     side = (17 if mono else 32) if first == 1 else (9 if mono else 17)
-    return Header(version, layer, not word >> 16 & 1, kbps, rate, mono, size, samples, side)
+    return Header(version, layer, not word >> 16 & 1, kbps, rate, mono, size, samples, side, 4 * (word >> 4 & 3) + 4 if mode == 1 else 32)
+
+
+def _slot(layer: int) -> int:
+    return 4 if layer == 1 else 1
+
+
+def _free_kind(raw: bytes) -> tuple[int, int, int] | None:
+    """(version, layer, sampling rate) of a free-format header."""
+    head = parse_header(raw, 1) if len(raw) == 4 and not raw[2] >> 4 else None
+    return head and (head.version, head.layer, head.rate)
+
+
+def free_size(data: bytes, at: int, end: int) -> int:
+    """Unpadded frame size of the free-format stream that begins at ``at``, or 0.
+
+    No frame is longer than at its layer's highest bitrate.
+    """
+    kind = _free_kind(data[at : at + 4])
+    if not kind:
+        return 0
+    slot, first = _slot(kind[1]), 1 if kind[0] == 3 else 2
+    longest = (48 if kind[1] == 1 else 144 if first == 1 or kind[1] == 2 else 72) * _KBPS[first, kind[1]][14] * 1000 // kind[2] + 2 * slot
+
+    def padding(place: int) -> int:
+        return slot * (data[place + 2] >> 1 & 1)
+
+    second = at + 4
+    while 0 <= (second := data.find(data[at : at + 1], second + 1, min(end, at + longest + 1))):
+        if _free_kind(data[second : second + 4]) == kind:
+            size = second - at - padding(at)
+            third = second + size + padding(second)
+            if third == end or (third + 4 <= end and _free_kind(data[third : third + 4]) == kind):
+                return size
+    return 0
 
 
 def _crc_table() -> list[int]:
@@ -88,6 +129,58 @@ def crc16(data: bytes) -> int:
     return crc
 
 
+def crc16_bits(data: bytes, bits: int) -> int:
+    """The checksum of the first ``bits`` bits."""
+    crc = crc16(data[: bits // 8])
+    for i in range(bits - bits % 8, bits):
+        crc = (crc << 1 & 0xFFFF) ^ (0x8005 if (crc >> 15 ^ data[i // 8] >> (7 - i % 8)) & 1 else 0)
+    return crc
+
+
+# Fixed values of the layer II standard: bits of the allocation of each subband.
+_ALLOCATION = {
+    "a": (4,) * 11 + (3,) * 12 + (2,) * 4,
+    "b": (4,) * 11 + (3,) * 12 + (2,) * 7,
+    "c": (4,) * 2 + (3,) * 6,
+    "d": (4,) * 2 + (3,) * 10,
+    "low rates": (4,) * 4 + (3,) * 7 + (2,) * 19,
+}
+
+
+def _allocation(head: Header) -> tuple[int, ...]:
+    if head.version != 3:
+        return _ALLOCATION["low rates"]
+    each = head.kbps / (1 if head.mono else 2)
+    if each < 56:
+        return _ALLOCATION["d" if head.rate == 32000 else "c"]
+    return _ALLOCATION["b" if each >= 96 and head.rate != 48000 else "a"]
+
+
+def protected_bits(body: bytes, head: Header) -> int:
+    """Bits behind the checksum that it covers: side information, or allocation and scale factor selection."""
+    if head.layer == 3:
+        return 8 * head.side
+    channels = 1 if head.mono else 2
+    if head.layer == 1:
+        bound = 32 if head.mono else head.bound
+        return 4 * (channels * bound + 32 - bound)
+    number, left = int.from_bytes(body[:64], "big"), 8 * len(body[:64])
+    at = selected = 0
+    for subband, bits in enumerate(_allocation(head)):
+        own = 1 if subband >= head.bound else channels
+        for _ in range(own):
+            at += bits
+            if number >> max(0, left - at) & ((1 << bits) - 1):
+                selected += channels // own
+    return at + 2 * selected
+
+
+def intact(frame: bytes, head: Header) -> bool:
+    """Whether a protected frame's checksum is right."""
+    bits = protected_bits(frame[6:], head)
+    return crc16_bits(frame[2:4] + frame[6 : 6 + -(-bits // 8)], 16 + bits) == int.from_bytes(frame[4:6], "big") if 8 * (len(frame) - 6) >= bits else False
+
+
 def frame_bytes(payload: bytes, kbps_index: int) -> bytes:
     """A silent protected frame whose ancillary data begin with ``payload``."""
     head = (0x7FF << 21 | 3 << 19 | 1 << 17 | kbps_index << 12 | 2 << 10 | 3 << 6).to_bytes(4, "big")
@@ -195,14 +288,18 @@ def scan(data: bytes) -> Scan:
     out = Scan()
     at, end = _id3v2(data, out), _id3v1(data, out)
     synced = first = None
+    free = 0
     while at + 4 <= end:
-        head = parse_header(data[at : at + 4])
+        raw = data[at : at + 4]
+        if raw[2] >> 4 == 0 and not (free and synced):
+            free = free_size(data, at, end)
+        head = parse_header(raw, free)
         follows = head and at + head.size
-        if head and follows <= end and (synced or follows == end or parse_header(data[follows : follows + 4])):
+        if head and follows <= end and (synced or follows == end or parse_header(data[follows : follows + 4], free)):
             frame = data[at:follows]
-            if head.protected and head.layer == 3:
+            if head.protected:
                 out.checked += 1
-                out.failed += crc16(frame[2:4] + frame[6 : 6 + head.side]) != int.from_bytes(frame[4:6], "big")
+                out.failed += not intact(frame, head)
             if first is None and head.layer == 3 and _vbr_table(frame, head, out):
                 first = at
             else:

@@ -84,3 +84,61 @@ def test_query_against_brute_force(edges, nothing, documents):
         assert all(r["media_bytes"] > r["payload_bytes"] and r["crc_failed"] == 0 for r in got)
         assert len({(r["payload_sha256"], r["media_sha256"], r["feature"]) for r in got}) == len({r["payload_sha256"] for r in got})
     assert m.text_as_audio(nothing).count() == 0
+
+
+def _bits(text: str) -> bytes:
+    text = text.ljust(-(-len(text) // 8) * 8, "0")
+    return bytes(int(text[i : i + 8], 2) for i in range(0, len(text), 8))
+
+
+def _crc_by_bits(bits: str) -> int:
+    """The checksum by its definition: a shift register of 16 bits."""
+    crc = 0xFFFF
+    for b in bits:
+        top = crc >> 15 ^ int(b)
+        crc = (crc << 1 & 0xFFFF) ^ (0x8005 if top else 0)
+    return crc
+
+
+def _protected(head: int, covered: str, rest: int, size: int) -> bytes:
+    """A frame with a checksum over bits 16 to 31 of its header and ``covered``."""
+    crc = _crc_by_bits(f"{head & 0xFFFF:016b}" + covered)
+    return (head.to_bytes(4, "big") + crc.to_bytes(2, "big") + _bits(covered + "01" * rest)).ljust(size, b"\x55")[:size]
+
+
+def test_checksums_of_layers_one_and_two():
+    # Layer I, 32 kHz, 64 kbps, joint stereo from subband 8: 4 bits for 2 x 8 + 24 allocations.
+    one = 0x7FF << 21 | 3 << 19 | 3 << 17 | 2 << 12 | 2 << 10 | 1 << 6 | 1 << 4
+    size = m.parse_header(one.to_bytes(4, "big")).size
+    frame = _protected(one, "1010" * 40, 40, size)
+    found = m.scan(frame * 3)
+    assert (len(found.offsets), found.checked, found.failed) == (3, 3, 0)
+    # Layer II, 44.1 kHz, 192 kbps, stereo: 30 subbands, selection for those with bits.
+    two = 0x7FF << 21 | 3 << 19 | 2 << 17 | 10 << 12 | 0 << 10
+    widths = [4] * 11 + [3] * 12 + [2] * 7
+    values = [(k * 7 + c) % 3 for k in range(30) for c in range(2)]
+    covered = "".join(f"{v:0{w}b}" for v, w in zip(values, [w for w in widths for _ in range(2)])) + "10" * sum(v > 0 for v in values)
+    size = m.parse_header(two.to_bytes(4, "big")).size
+    frame = _protected(two, covered, 60, size)
+    damaged = bytearray(frame)
+    damaged[9] ^= 4
+    found = m.scan(frame + bytes(damaged) + frame)
+    assert (len(found.offsets), found.checked, found.failed) == (3, 3, 1)
+    # Bits behind what the checksum covers may change.
+    behind = bytearray(frame)
+    behind[-1] ^= 1
+    assert m.scan(frame + bytes(behind)).failed == 0
+
+
+def test_free_format():
+    def frame(pad: int, fill: int) -> bytes:
+        head = 0x7FF << 21 | 3 << 19 | 1 << 17 | 1 << 16 | 0 << 12 | 0 << 10 | pad << 9 | 3 << 6
+        return head.to_bytes(4, "big") + bytes([fill]) * (500 - 4 + pad)
+
+    stream = frame(0, 1) + frame(1, 2) + frame(0, 3) + frame(1, 4)
+    for junk in (b"", b"\xff\xfb\x00junk\xff\xff"):
+        found = m.scan(junk + stream)
+        assert [o - len(junk) for o in found.offsets] == [0, 500, 1001, 1501]
+        assert found.samples == 4 * 1152 and found.rate == 44100 and found.skipped == len(junk)
+    assert found.headers[0].kbps == round(500 * 8 * 44100 / 1152 / 1000)
+    assert not m.scan(frame(0, 1)).offsets and m.scan(frame(0, 1)).skipped == 500
