@@ -4,8 +4,8 @@ Two logistic classifiers see disjoint views of a document: hashed character n-gr
 repetition of its text; and source, language, length and line layout.  In each round both label the
 rows of a bounded unlabelled pool they are surest of, for the other's training set.  Each view is
 calibrated (Platt) on labelled rows that neither has seen, and a logistic combination of the two
-log-odds scores every document.  A document is rejected below a threshold that keeps nearly all good
-calibration rows.
+log-odds scores every document.  A document is rejected below the threshold of least cost on the
+calibration rows, where losing a good document costs as much as keeping ``GOOD_COST`` bad ones.
 
 Defined results: null text or metadata is the empty text or its own category; null labels are not
 learned from, a document labelled both ways counts as good; without labels of both kinds every
@@ -33,8 +33,10 @@ POOL_ROWS = 4000
 ROUNDS = 4
 #: Pseudo-labels that each view gives in a round, of each class in proportion.
 EXCHANGE = 200
-#: Share of good calibration rows that may fall below the threshold.
-LOSS = 0.001
+#: What losing a good document costs, in bad documents kept.
+GOOD_COST = 20.0
+#: Highest threshold: a document that is more likely good is kept.
+MOST_THRESHOLD = 0.5
 _META_BITS = 10
 METADATA = ("source", "lang", "n_chars")
 
@@ -105,6 +107,25 @@ def platt(logits: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return beta
 
 
+def least_cost_threshold(scores: np.ndarray, y: np.ndarray) -> float:
+    """The score below which rejecting costs least, at most ``MOST_THRESHOLD``.
+
+    Cost is flat between neighbouring scores: the middle of the best gap, in log-odds, is taken; of
+    equally good gaps the widest.  One odd label moves the cost by one row, not the threshold to it.
+    """
+    order = np.argsort(scores, kind="stable")
+    odds = np.log(np.clip(scores[order], 1e-9, 1 - 1e-9)) - np.log1p(-np.clip(scores[order], 1e-9, 1 - 1e-9))
+    top = np.log(MOST_THRESHOLD / (1 - MOST_THRESHOLD))
+    low = np.concatenate([[odds[0] - 2.0], odds])
+    high = np.concatenate([odds, [max(top, odds[-1])]])
+    cost = np.concatenate([[0.0], np.cumsum(np.where(y[order] == 1, GOOD_COST, -1.0))])
+    usable = (low <= top) & (high > low)
+    usable[0] = True
+    best = np.flatnonzero(usable & (cost == cost[usable].min()))
+    gap = best[np.argmax(np.minimum(high[best], top) - low[best])]
+    return float(1 / (1 + np.exp(-(low[gap] + min(high[gap], top)) / 2)))
+
+
 @dataclass
 class CoModel:
     views: list[Logistic]
@@ -145,9 +166,8 @@ def co_train(labelled: list[tuple[tuple[Vector, Vector], int]], pool: list[tuple
     logits = np.array([[view.logit(x) for view, x in zip(views, v)] for v, _ in held])
     calibrations = [platt(logits[:, k], y) for k in (0, 1)]
     odds = np.column_stack([c[0] * logits[:, k] + c[1] for k, c in enumerate(calibrations)])
-    model = CoModel(views, calibrations, platt(odds, y), 0.5)
-    kept = np.sort([model.scores(v)[0] for v, t in held if t == 1])
-    model.threshold = float(min(0.5, kept[int(LOSS * len(kept))] * 0.999))
+    model = CoModel(views, calibrations, platt(odds, y), MOST_THRESHOLD)
+    model.threshold = least_cost_threshold(np.array([model.scores(v)[0] for v, _ in held]), y)
     return model
 
 

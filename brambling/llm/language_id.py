@@ -2,7 +2,9 @@
 
 Document frequencies are counted over all rows that may be learned from.  Weights are trained by
 follow-the-regularised-leader with L1 and L2 penalties on a bounded hash sample, so most are exactly
-zero; a temperature fitted on a held-back part of the sample calibrates the probabilities.  Rows whose
+zero; a temperature fitted on a held-back part of the sample calibrates the probabilities.  The sample
+has about ``TRAIN_ROWS`` rows of all languages alike, and about ``LEAST_ROWS`` (or all) of each rarer
+one; ``MOST_LANGUAGES``, the most frequent, are learned.  Rows whose
 ``crc32`` of the id leaves remainder 1 by 3 are never learned from.
 
 Defined results: null text, and text without a letter, is ``und`` with score 0; a null ``doc_id`` is
@@ -21,11 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import filter_texts, map_texts, prepare, require
-from .ngrams import counted, hash_sample, ngram_codes
+from .ngrams import counted, ngram_codes
 
 BITS = 15
 #: Rows that weights are fitted on, about.
 TRAIN_ROWS = 4000
+#: Rows of a language that the sample aims at where an even share would bring fewer.
+LEAST_ROWS = 100
+#: Languages that are learned at most; real corpora have some hundreds.
+MOST_LANGUAGES = 1000
 UNDETERMINED = "und"
 #: Calibrated probability below which a filter rejects a document.
 LEAST_SCORE = 0.4
@@ -98,11 +104,16 @@ def temperature_of(logits: np.ndarray, targets: np.ndarray) -> float:
 
 
 def fit(rows: list[tuple[str, str]], idf: np.ndarray, epochs: int = 3) -> Model:
-    """Train on (text, language); every fifth row calibrates."""
+    """Train on (text, language); every fifth row of a language calibrates."""
     languages = sorted({lang for _, lang in rows})
     index = {lang: i for i, lang in enumerate(languages)}
     data = [(*vector(t, idf), index[lang]) for t, lang in rows]
-    held, seen = data[::5], [d for i, d in enumerate(data) if i % 5]
+    place, counted_ = [], dict.fromkeys(range(len(languages)), 0)
+    for *_, k in data:
+        place.append(counted_[k])
+        counted_[k] += 1
+    # The first rows of a language teach, whatever it has.
+    held, seen = [d for i, d in zip(place, data) if i % 5 == 4], [d for i, d in zip(place, data) if i % 5 != 4]
     ftrl = Ftrl(len(idf), max(1, len(languages)))
     order = np.random.RandomState(5)
     for _ in range(epochs):
@@ -110,7 +121,7 @@ def fit(rows: list[tuple[str, str]], idf: np.ndarray, epochs: int = 3) -> Model:
             ftrl.learn(*seen[i])
     weights = ftrl.weights(slice(None))
     bias, weights = weights[-1], weights[:-1].astype(np.float32)
-    logits = np.array([x @ weights[at] + bias for at, x, _ in held]).reshape(len(held), -1)
+    logits = np.array([x @ weights[at] + bias for at, x, _ in held]).reshape(len(held), len(languages))
     return Model(languages, idf, weights, bias, temperature_of(logits, np.array([k for *_, k in held], int)))
 
 
@@ -138,6 +149,21 @@ def document_frequencies(rows: DataFrame) -> tuple[int, np.ndarray]:
     return total, frequency
 
 
+def language_sample(usable: DataFrame, most: int = TRAIN_ROWS, least: int = LEAST_ROWS) -> DataFrame:
+    """``text, lang`` of a hash sample of all languages, denser where a language is rare."""
+    # One row for each language comes back.
+    sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
+    share = most / max(most, sum(sizes.values()))
+    rates: dict[float, list[str]] = {}
+    for lang, n in sizes.items():
+        rates.setdefault(min(1.0, max(share, least / n)), []).append(lang)
+    mark = F.pmod(F.xxhash64("doc_id", "text", F.lit(31)), F.lit(1 << 30))
+    chosen = F.lit(False)
+    for rate, langs in rates.items():
+        chosen = chosen | (F.col("lang").isin(langs) & (mark < int((1 << 30) * rate)))
+    return usable.filter(chosen).limit(2 * (most + least * len(sizes))).select("text", "lang")
+
+
 def train(docs: DataFrame, most: int = TRAIN_ROWS) -> Model:
     """Learn from ``text`` and ``lang`` of rows that aren't held out."""
     prepare(docs.sparkSession)
@@ -147,7 +173,7 @@ def train(docs: DataFrame, most: int = TRAIN_ROWS) -> Model:
     idf = (np.log((1 + total) / (1 + frequency)) + 0.1).astype(np.float32)
     if not total:
         return Model([], idf, np.zeros((1 << BITS, 0)), np.zeros(0), 1.0)
-    sample = hash_sample(usable, most, total, "doc_id", "text").select("text", "lang")
+    sample = language_sample(usable, most)
 
     def learn(batches):
         rows = [r for b in batches for r in zip(b.column("text").to_pylist(), b.column("lang").to_pylist())]

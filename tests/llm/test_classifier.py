@@ -61,3 +61,16 @@ def test_edges(spark, edges, nothing):
         assert c.score(edges.select("doc_id", "text"), model).count() == edges.count()
     assert c.train(nothing, labels) is None
     assert c.score(edges, None).filter("not kept or score < 1").count() == 0
+
+
+def test_threshold_weighs_both_classes():
+    bad, good = np.linspace(0.01, 0.2, 50), np.linspace(0.6, 0.99, 150)
+    scores, y = np.concatenate([bad, good]), np.repeat([0, 1], [50, 150])
+    assert 0.2 < c.least_cost_threshold(scores, y) <= 0.5
+    # A good label on one row that scores near 0 doesn't move the threshold there.
+    noisy = c.least_cost_threshold(np.append(scores, 0.001), np.append(y, 1))
+    assert 0.2 < noisy <= 0.5
+    # Few bad documents aren't worth a good one.
+    assert c.least_cost_threshold(np.array([0.1, 0.2, 0.3, 0.9]), np.array([1, 0, 0, 1])) < 0.1
+    assert c.least_cost_threshold(np.array([0.5, 0.5]), np.array([0, 1])) <= 0.5
+    assert c.least_cost_threshold(np.array([0.9, 0.8]), np.array([1, 1])) <= 0.5

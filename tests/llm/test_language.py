@@ -53,3 +53,14 @@ def test_temperature():
     logits = np.array([[4.0, 0.0], [4.0, 0.0], [4.0, 0.0], [0.0, 4.0]])
     assert g.temperature_of(logits, np.array([0, 0, 1, 1])) > 1
     assert g.temperature_of(np.zeros((0, 2)), np.array([], int)) == 1.0
+
+
+def test_rare_languages_are_learned(spark):
+    words = {"aa": "lorem ipsum dolor sit amet", "bb": "zwölf boxkämpfer jagen viktor", "cc": "ωμέγα άλφα βήτα γάμμα"}
+    rows = [(i, f"{words[k]} {i} {words[k]}", k) for i, k in enumerate(["aa"] * 3000 + ["bb"] * 3000 + ["cc"] * 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = g.train(docs, most=200)
+    assert model.languages == ["aa", "bb", "cc"]
+    assert model.predict("γάμμα βήτα ωμέγα")[0] == "cc" and model.predict("viktor jagen")[0] == "bb"
+    sample = {r["lang"]: r["count"] for r in g.language_sample(docs, 200, 50).groupBy("lang").count().collect()}
+    assert sample["cc"] == 6 and 30 <= sample["aa"] <= 300 and 30 <= sample["bb"] <= 300
