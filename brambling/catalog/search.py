@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import folded, text
 from ..operators import counts, facets, neighbours, ranking
-from ..sources.tables import spread
+from ..operators.textindex import TextIndex, write_index
+from ..sources.tables import shared_folder, spread
 from .registry import Tables, query
 
 _SQL_TOKENS = r"(SELECT *, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS tok FROM documents)"
@@ -103,6 +104,25 @@ def bm25_filtered(t: Tables):
     return _rounded(ranking.bm25(spread(t.documents.select("doc_id", "text", "source")), "doc_id", F.col("text"), "with | that", 5, condition=F.col("source") == "src3"))
 
 
+def _index(t: Tables) -> TextIndex:
+    """A lexeme index of all documents, made for one query here; callers with more keep its folder."""
+    path = shared_folder(t.spark, "lexemes")
+    write_index(_tokens(t), "doc_id", F.col("tok"), path)
+    return TextIndex(t.spark, path)
+
+
+@query("bm25_indexed", _bm25_sql(["with", "that", "nicht"]))
+def bm25_indexed(t: Tables):
+    return _rounded(_index(t).bm25("with | that | nicht", 10).withColumnRenamed("key", "doc_id"))
+
+
+@query("fts_indexed", f"SELECT doc_id FROM {_SQL_TOKENS} WHERE {_follows('of', 'the', 1)} AND NOT {_holds('with')} UNION ALL SELECT -1 - doc_id FROM {_SQL_TOKENS} WHERE NOT ({_holds('the')} OR {_holds('les')})")
+def fts_indexed(t: Tables):
+    index = _index(t)
+    without = index.matching("!(the | les)").select((-1 - F.col("key")).alias("key"))
+    return index.matching("of <-> the & !with").unionAll(without).withColumnRenamed("key", "doc_id")
+
+
 # A fixed query vector of 64 numbers.
 _QUERY = [((i * 37) % 23 - 11) / 50 for i in range(64)]
 _SQL_QUERY = "CAST([" + ", ".join(map(repr, _QUERY)) + "] AS double[64])"

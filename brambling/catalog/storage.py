@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import postings
-from ..sources.tables import describe_keys
+from ..sources.tables import describe_keys, shared_folder
 from ..streaming import maintained
 from .registry import Tables, query
 
@@ -37,14 +34,9 @@ def key_statistics(t: Tables):
     return describe_keys(t.events.withColumn("g", F.nullif(F.col("user_id") % 7, F.lit(0))), "g")
 
 
-def _shared_folder(t: Tables) -> str:
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="brambling-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 @query("streamed_counts", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def streamed_counts(t: Tables):
-    folder = _shared_folder(t)
+    folder = shared_folder(t.spark, "stream")
     # A file stream reads a folder, so the one file is named by a glob of its folder.
     stream = t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t.sf_dir)
     maintained.maintain_counts(stream, ["event_type"], f"{folder}/deltas", f"{folder}/checkpoint").awaitTermination()

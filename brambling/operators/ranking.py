@@ -43,7 +43,7 @@ def statistics(df: DataFrame, tokens: Column, query: str) -> Statistics:
     return Statistics(row["documents"], row["mean"] or 1.0, {w: row[f"df{i}"] for i, w in enumerate(terms)})
 
 
-def _formula(known: Statistics, length: Column, counts: Mapping[str, Column], k1: float, b: float) -> Column:
+def formula(known: Statistics, length: Column, counts: Mapping[str, Column], k1: float, b: float) -> Column:
     share = length / F.lit(known.mean_length)
     total = F.lit(0.0)
     for word, df in known.frequencies.items():
@@ -56,14 +56,14 @@ def _formula(known: Statistics, length: Column, counts: Mapping[str, Column], k1
 def score(tokens: Column, known: Statistics, k1: float = K1, b: float = B) -> Column:
     """The document's score; 0 where no term occurs, NULL for NULL tokens."""
     counts = {w: text.occurrences(tokens, w) for w in known.frequencies}
-    return F.when(tokens.isNotNull(), _formula(known, text.length(tokens), counts, k1, b))
+    return F.when(tokens.isNotNull(), formula(known, text.length(tokens), counts, k1, b))
 
 
 def text_score(document: Column, known: Statistics, k1: float = K1, b: float = B) -> Column:
     """``score`` of a text column."""
     whole = folded.fold(document)
     counts = {w: folded.occurrences(whole, w) for w in known.frequencies}
-    return F.when(document.isNotNull(), _formula(known, folded.length(whole), counts, k1, b))
+    return F.when(document.isNotNull(), formula(known, folded.length(whole), counts, k1, b))
 
 
 def _may_hold(column: Column, terms: list[str]) -> Column:
@@ -102,5 +102,5 @@ def bm25(
     # A generator keeps the filter above it: pushed down, it would read each document again for every term.
     counted = rows.select(F.inline(F.array(facts)))
     held = counted.filter("match_" if match else F.lit(False) if not terms else F.greatest(F.lit(0), *[F.col(f"tf{i}_") for i in range(len(terms))]) > 0)
-    value = _formula(known, F.col("length_"), {w: F.col(f"tf{i}_") for i, w in enumerate(terms)}, k1, b)
+    value = formula(known, F.col("length_"), {w: F.col(f"tf{i}_") for i, w in enumerate(terms)}, k1, b)
     return held.select(key, value.alias("score")).orderBy(F.desc("score"), key).limit(k)
