@@ -45,6 +45,8 @@ MISS = 1e-6
 MARGIN = 6.0
 #: Ids that are broadcast at most, to pick documents without a shuffle of texts or registers.
 BROADCAST_IDS = 1_000_000
+#: Rows of one key that one task takes in a join that gives each of them a set, registers or a name.
+KEY_ROWS = 4096
 _EMPTY = np.uint16(0)
 _PROBES = 24
 
@@ -188,6 +190,27 @@ def _small(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
+def _hot(rows: DataFrame, key: str) -> DataFrame | None:
+    """``key, parts_``: keys of more than KEY_ROWS rows, and the parts they are cut into; None if there are none."""
+    large = rows.groupBy(key).agg(F.count("*").alias("c")).filter(F.col("c") > KEY_ROWS)
+    hot = checkpointed(large.select(key, F.ceil(F.col("c") / KEY_ROWS).cast("int").alias("parts_")))
+    return None if hot.isEmpty() else hot
+
+
+def _looked_up(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame | None, by: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` with the one row of ``table`` for their key.
+
+    A hot key's rows are dealt to its parts by a hash of ``by``, and its row of the table is copied for
+    each part; so no task takes much more than KEY_ROWS rows of a key, and few rows are copied.
+    """
+    if hot is None:
+        return rows.join(table, key, how)
+    hot = _small(hot)
+    dealt = rows.join(hot, key, "left").withColumn("part_", F.coalesce(F.pmod(F.xxhash64(*by), F.col("parts_")), F.lit(0)).cast("int"))
+    copied = table.join(hot, key, "left").withColumn("part_", F.explode(F.sequence(F.lit(0), F.coalesce("parts_", F.lit(1)) - 1)))
+    return dealt.drop("parts_").join(copied.drop("parts_"), [key, "part_"], how).drop("part_")
+
+
 def full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     """``id, hashes, fp``: the whole shingle sets of the given documents."""
 
@@ -229,10 +252,15 @@ def _one_text(rows: DataFrame, again: bool) -> DataFrame:
     return rows.groupBy("id").agg(F.min_by(F.struct(*rest), "fp").alias("row_")).select("id", "row_.*")
 
 
-def _with_sets(pairs: DataFrame, sets: DataFrame, a: str, b: str) -> DataFrame:
-    one = sets.select(F.col("id").alias(a), F.col("hashes").alias("set_a"))
-    two = sets.select(F.col("id").alias(b), F.col("hashes").alias("set_b"))
-    return pairs.join(one, a).join(two, b)
+Hot = dict[str, DataFrame | None]
+
+
+def _both(pairs: DataFrame, table: DataFrame, a: str, b: str, hot: Hot, **columns: str) -> DataFrame:
+    """Pairs with columns of both members' rows: ``columns`` says what each is called, before ``_a`` or ``_b``."""
+    for key, side in ((a, "a"), (b, "b")):
+        named = table.select(F.col("id").alias(key), *[F.col(c).alias(f"{name}_{side}") for c, name in columns.items()])
+        pairs = _looked_up(pairs, named, key, hot.get(key), [a, b])
+    return pairs
 
 
 def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -254,6 +282,8 @@ def _row_by_row(batches, function, schema: pa.Schema):
 
 def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Members beside their centres: whether linked, both sizes, and the difference."""
+    # A member has at most one centre for each band; a centre may have any number of members.
+    hot = {"centre": _hot(pairs, "centre")}
     schema = pa.schema([("centre", pa.int64()), ("id", pa.int64()), ("top", pa.int64()), ("linked", pa.bool_()), ("n_centre", pa.int64()), ("n", pa.int64()), ("difference", pa.list_(pa.int64()))])
 
     def judge(r: dict) -> dict:
@@ -261,7 +291,7 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         gap = np.setxor1d(x, y, assume_unique=True).view(np.int64)
         return {"centre": r["centre"], "id": r["id"], "top": r["top"], "linked": _linked(x, y, percent), "n_centre": len(x), "n": len(y), "difference": gap}
 
-    return _with_sets(pairs, sets, "centre", "id").mapInArrow(
+    return _both(pairs, sets, "centre", "id", hot, hashes="set").mapInArrow(
         lambda batches: _row_by_row(batches, judge, schema),
         "centre long, id long, top long, linked boolean, n_centre long, n long, difference array<long>",
     )
@@ -279,7 +309,7 @@ def member_pairs(stars: DataFrame, percent: int) -> DataFrame:
     d = F.size("difference")
     # Any partner that isn't linked to the centre shares more than this many elements.
     least = F.floor(d / 2 + tau / 2 * (F.col("n_centre") - F.col("n")) - 1e-9) + 1
-    own = stars.join(groups.select("centre"), "centre").withColumns({"d": d, "prefix": d - least + 1})
+    own = stars.join(_small(checkpointed(groups.select("centre"))), "centre").withColumns({"d": d, "prefix": d - least + 1})
     spread = own.select("centre", "id", F.explode("difference").alias("h"))
     common = spread.groupBy("centre", "h").agg(F.count("*").alias("c")).filter("c > 1")
     # Elements of one member come first in its order; they are counted, never joined.
@@ -306,10 +336,8 @@ def member_pairs(stars: DataFrame, percent: int) -> DataFrame:
     return joined.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
 
 
-def estimated(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+def estimated(pairs: DataFrame, reps: DataFrame, percent: int, hot: Hot) -> DataFrame:
     """Pairs whose corrected estimate reaches the threshold, less a margin."""
-    one = reps.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("registers").alias("r_a"))
-    two = reps.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("registers").alias("r_b"))
 
     def judged(batch: pa.RecordBatch):
         x, y = _rows_of(batch.column("r_a")), _rows_of(batch.column("r_b"))
@@ -317,17 +345,18 @@ def estimated(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
         good = [may_link(p, q, m, n, percent) for p, q, (m, n) in zip(x, y, sizes)]
         yield batch.select(["a", "b"]).filter(pa.array(good))
 
-    return pairs.join(one, "a").join(two, "b").mapInArrow(lambda batches: tidily(batches, judged), "a long, b long")
+    beside = _both(pairs, reps, "a", "b", hot, n="n", registers="r")
+    return beside.mapInArrow(lambda batches: tidily(batches, judged), "a long, b long")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, hot: Hot) -> DataFrame:
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def judge(r: dict) -> dict | None:
         x, y = (np.frombuffer(r[k], np.uint64) for k in ("set_a", "set_b"))
         return {"a": r["a"], "b": r["b"]} if _linked(x, y, percent) else None
 
-    return _with_sets(pairs, sets, "a", "b").mapInArrow(lambda batches: _row_by_row(batches, judge, schema), "a long, b long")
+    return _both(pairs, sets, "a", "b", hot, hashes="set").mapInArrow(lambda batches: _row_by_row(batches, judge, schema), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -352,15 +381,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     """``doc_id, n_shingles, component_id, kept``: documents linked at ``percent`` Jaccard similarity or more."""
     prepare(docs.sparkSession)
     known = checkpointed(sketches(docs, words, percent))
-    first = known.filter("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("owner"))
+    named = known.filter("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("owner"), F.count("*").alias("c"))
     # Every row with the first document of its set: copies are one node from here on.
-    if several := _several_texts(known):
-        # A document has a node for each of its texts.
-        first = checkpointed(first.withColumn("node", F.monotonically_increasing_id()))
-    else:
-        first = first.withColumn("node", F.col("owner"))
+    several = _several_texts(known)
+    # A document has a node for each of its texts, where it has several.
+    named = checkpointed(named.withColumn("node", F.monotonically_increasing_id() if several else F.col("owner")))
+    first, key = named.drop("c"), "node" if several else "owner"
+    large = checkpointed(named.filter(F.col("c") > KEY_ROWS).withColumn("parts_", F.ceil(F.col("c") / KEY_ROWS).cast("int")))
+    copied = not large.isEmpty()
     own = [F.when(F.col("doc_id").isNotNull(), F.col(c)).alias(c) for c in (["owner", "node"] if several else ["owner"])]
-    owned = checkpointed(known.select("doc_id", "n", "fp").join(first, "fp", "left").select("doc_id", "n", *own))
+    rows = known.select("doc_id", "n", "fp")
+    wordy = _looked_up(rows.filter("fp is not null"), first, "fp", large.select("fp", "parts_") if copied else None, ["doc_id"], "left")
+    wordless = rows.filter("fp is null").select("doc_id", "n", *[F.lit(None).cast("long").alias(c) for c in ("owner", "node")[: len(own)]])
+    owned = checkpointed(wordy.select("doc_id", "n", *own).unionByName(wordless))
     sketched = known.filter("registers is not null and doc_id is not null").select(F.col("doc_id").alias("id"), "n", "registers", "fp")
     if several:
         reps = checkpointed(_by_node(sketched, first))
@@ -376,12 +409,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     else:
         sets = checkpointed(_one_text(full_sets(docs, ids, words), again))
     stars = checkpointed(compared(pairs, sets, percent))
-    others = estimated(member_pairs(stars, percent), reps, percent)
-    links = stars.filter("linked").select(F.col("centre").alias("a"), F.col("id").alias("b")).unionByName(confirmed(others, sets, percent))
+    maybe = checkpointed(member_pairs(stars, percent))
+    hot = {side: _hot(maybe, side) for side in ("a", "b")}
+    others = estimated(maybe, reps, percent, hot)
+    links = stars.filter("linked").select(F.col("centre").alias("a"), F.col("id").alias("b")).unionByName(confirmed(others, sets, percent, hot))
     found = components(links)
     found = _named(found, first) if several else found.withColumnRenamed("id", "owner")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "owner", "doc_id"))
-    placed = owned.join(found, "node" if several else "owner", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    alone = owned.filter(F.col(key).isNull()).withColumn("component", F.lit(None).cast("long"))
+    parts = large.select(key, "parts_") if copied else None
+    together = _looked_up(owned.filter(F.col(key).isNotNull()), found, key, parts, ["doc_id"], "left").unionByName(alone)
+    placed = together.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
     return placed.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

@@ -173,3 +173,19 @@ def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 200)] + [(500, 501), (501, 500), (600, 600)], "a long, b long")
     got = {r["id"]: r["component"] for r in h.components(links).collect()}
     assert got == {i: 0 for i in range(1, 201)} | {501: 500}
+
+
+@pytest.mark.parametrize("twice", [False, True])
+def test_keys_cut_into_parts(spark, monkeypatch, twice):
+    """Copies, near copies, blank texts and null ids beyond the rows that one task takes of a key."""
+    monkeypatch.setattr(h, "KEY_ROWS", 3)
+    r = random.Random(8)
+    base = [f"w{r.randrange(500)}" for _ in range(60)]
+    texts = [" ".join(base)] * 11 + [edited(base, r, 1 + i % 4) for i in range(40)] + [None, "", " "] * 4
+    r.shuffle(texts)
+    rows = [(i if i % 9 else None, t) for i, t in enumerate(texts, 1)]
+    if twice:
+        rows.append((2, "a text of its own that the id has besides the other one"))
+    found = result(h.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 70))
+    expected = brute(rows, 3, 70)
+    assert found == expected if not twice else len(found) == len(expected)
