@@ -2,7 +2,7 @@
 
 A document's ids (with its end id) are cut into full pieces and one remainder in the same pass that
 encodes it, so only piece descriptions, never ids, are shuffled.  Pieces go to randomised groups of
-about ``group_pieces``; each group is packed on its own.  The tree keeps the largest free capacity
+at most about ``group_pieces``; each group is packed on its own.  The tree keeps the largest free capacity
 below every node, so the leftmost bin that fits is found in O(log bins).
 
 Defined results: null text is the empty text (one piece with the end id); a null ``doc_id`` stays
@@ -92,7 +92,10 @@ def pack(
 ) -> DataFrame:
     """Pack all documents into sequences of at most ``capacity`` ids; one row for each piece."""
     prepare(docs.sparkSession)
-    n_groups = max(1, -(-docs.count() // group_pieces))
+    # A row has one remainder, and a full piece for each ``capacity`` ids, of two bytes or more as a rule:
+    # very long texts bring more groups, not larger ones.
+    rows, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    n_groups = max(1, -(-(rows + size // (2 * capacity)) // group_pieces))
 
     def pack_group(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         table = table.drop_columns(["salt", "grp"]).sort_by([(c, "ascending") for c in ("doc_id", "start", "ids_crc32", "doc_tokens")])
