@@ -46,7 +46,7 @@ MARGIN = 6.0
 #: Ids that are broadcast at most, to pick documents without a shuffle of texts or registers.
 BROADCAST_IDS = 1_000_000
 #: Rows of one key that one task takes in a join that gives each of them a set, registers or a name.
-KEY_ROWS = 4096
+KEY_ROWS = 1024
 _EMPTY = np.uint16(0)
 _PROBES = 24
 
