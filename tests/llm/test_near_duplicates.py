@@ -187,5 +187,8 @@ def test_keys_cut_into_parts(spark, monkeypatch, twice):
     if twice:
         rows.append((2, "a text of its own that the id has besides the other one"))
     found = result(h.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 70))
-    expected = brute(rows, 3, 70)
-    assert found == expected if not twice else len(found) == len(expected)
+    expected = brute(rows[:-1] if twice else rows, 3, 70)
+    if twice:
+        # Another text of an id is a node, and a component, of its own.
+        expected = sorted([*expected, (2, len(shingles(rows[-1][1], 3)), 2, True)], key=repr)
+    assert found == expected
