@@ -107,7 +107,7 @@ def bm25_filtered(t: Tables):
 def _index(t: Tables) -> TextIndex:
     """A lexeme index of all documents, made for one query here; callers with more keep its folder."""
     path = shared_folder(t.spark, "lexemes")
-    write_index(_tokens(t), "doc_id", F.col("tok"), path)
+    write_index(spread(t.documents.select("doc_id", "text")), "doc_id", F.col("text"), path)
     return TextIndex(t.spark, path)
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import re
 import sys
 import tempfile
 import uuid
@@ -13,26 +12,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import batched, ship
 
 #: Text bytes handled at once inside a Python worker; bounds its memory whatever the batch size.
 SLICE_BYTES = 1 << 20
 #: The same for encoding, where each slice's distinct pieces are looked up once.
 ENCODED_BYTES = 2 << 20
-#: Rows in one Arrow batch; documents can be long, so the default of 10,000 is too many.
-BATCH_ROWS = 1000
-#: Bytes of one Arrow batch, about; a row is never cut.
-BATCH_BYTES = 8 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Make the package importable on executors and keep Arrow batches small."""
-    ship(spark)
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        now = re.fullmatch(r"(\d+)b?", spark.conf.get(key))
-        if not now or not 0 < int(now[1]) <= most:
-            spark.conf.set(key, str(most))
-    return spark
+    return batched(ship(spark))
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -16,6 +17,10 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.parquet.aggregatePushdown": "true",
 }
+#: Rows in one Arrow batch; documents can be long, so the default of 10,000 is too many.
+BATCH_ROWS = 1000
+#: Bytes of one Arrow batch, about; a row is never cut.
+BATCH_BYTES = 8 << 20
 
 
 def session(name: str = "brambling", **settings: str) -> SparkSession:
@@ -38,3 +43,12 @@ def ship(spark: SparkSession) -> SparkSession:
         context.addPyFile(target)
         context._brambling_shipped = True
     return spark
+
+
+def batched(spark: SparkSession) -> SparkSession:
+    """Keep Arrow batches small; smaller limits of the caller stay."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = re.fullmatch(r"(\d+)b?", spark.conf.get(key))
+        if not now or not 0 < int(now[1]) <= most:
+            spark.conf.set(key, str(most))
+    return spark
