@@ -31,6 +31,8 @@ BUCKETS = 64
 EXPANSIONS = 1000
 #: Bytes of text, or tokens, that are grouped at once: documents of one block.
 BLOCK = 16 << 20
+#: More than any number of a place.
+RING = 1 << 33
 
 
 def _bucket(lexeme: str) -> int:
@@ -135,6 +137,9 @@ def _blocks(batch: pa.RecordBatch) -> pa.RecordBatch:
     offsets = pa.array(block, pa.int32())
     # 0 is a token without a position.
     stood = np.where(pc.is_valid(positions).to_numpy(zero_copy_only=False), positions.fill_null(0).to_numpy(zero_copy_only=False).astype("int64") % (1 << 32) + 1, 0)[order]
+    # Steps from the token before, in a ring: they are small, as places ascend, and any number comes back.
+    steps = np.diff(stood, prepend=0)
+    steps[first] = stood[first]
     if weights is None:
         weighed = pa.nulls(len(block) - 1, pa.list_(pa.list_(pa.string())))
     else:
@@ -146,7 +151,7 @@ def _blocks(batch: pa.RecordBatch) -> pa.RecordBatch:
             pa.ListArray.from_arrays(offsets, keys.take(pa.array(rows))),
             _packed(lengths[rows], block),
             _packed(np.diff(places), block),
-            _packed(stood, places[block]),
+            _packed(steps % RING, places[block]),
             weighed,
         ],
         ["lexeme", "documents", "key", "length", "tf", "places", "weights"],
@@ -163,7 +168,8 @@ def _postings(blocks: DataFrame, placed: bool = False, weighted: bool = False) -
         offsets = pa.array(np.concatenate([[0], np.cumsum(tf)]), pa.int32())
         out = [of["lexeme"].take(pa.array(row)), of["key"].flatten(), pa.array(_unpacked(of["length"]), pa.int32()), pa.array(tf, pa.int32())]
         if placed:
-            stood = _unpacked(of["places"])
+            steps = np.concatenate([[0], np.cumsum(_unpacked(of["places"]))])
+            stood = (steps[1:] - np.repeat(steps[offsets.to_numpy()[:-1]], tf)) % RING
             out.append(pa.ListArray.from_arrays(offsets, pa.array((stood - 1).astype("uint32").astype("int32"), pa.int32(), mask=stood == 0)))
         if weighted:
             # Blocks of texts have none: all are D.
@@ -275,10 +281,18 @@ class TextIndex:
         # Positions are only read for phrases and weights.
         weighted = any(t.weights for t in _terms(parsed))
         placed = weighted or _has_phrase(parsed)
-        one = F.struct(F.col("lexeme").alias("lex"), F.lit(None).cast("int").alias("pos"), F.lit(None).cast("string").alias("w"))
-        weight = (lambda i: F.get("weights", i)) if weighted else lambda i: F.lit(None).cast("string")
-        own = F.transform("places", lambda p, i: F.struct(F.col("lexeme").alias("lex"), p.alias("pos"), weight(i).alias("w"))) if placed else F.array(one)
-        tokens = self._of(_terms(parsed), placed, weighted).select("key", own.alias("own")).groupBy("key").agg(F.flatten(F.collect_list("own")).alias("tokens"))
+        def tokens_of(own: Column) -> Column:
+            def token(pos: Column, w: Column) -> Column:
+                return F.struct(own["lexeme"].alias("lex"), pos.cast("int").alias("pos"), w.cast("string").alias("w"))
+
+            if not placed:
+                return F.array(token(F.lit(None), F.lit(None)))
+            return F.transform(own["places"], lambda p, i: token(p, F.get(own["weights"], i) if weighted else F.lit(None)))
+
+        # What is moved is one entry for each word, not one for each token.
+        own = F.struct("lexeme", *["places"] * placed, *["weights"] * weighted)
+        held = self._of(_terms(parsed), placed, weighted).groupBy("key").agg(F.collect_list(own).alias("own"))
+        tokens = held.select("key", F.flatten(F.transform("own", tokens_of)).alias("tokens"))
         test = text.matches(F.col("tokens"), parsed)
         if _true_of_nothing(parsed):
             return self.documents.select("key").join(tokens.filter(~test).select("key"), "key", "left_anti")

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brambling.functions import text
+from brambling.functions.text import Term
 from brambling.operators import ranking
 from brambling.operators.textindex import BLOCK, TextIndex, _gathered, _packed, _unpacked, write_index
 from brambling.sources.tables import load
@@ -134,3 +135,23 @@ def test_a_common_lexeme_has_a_row_for_each_block(index, docs):
     found = index.blocks.filter("lexeme = 'w0'").select("documents").collect()
     assert len(found) == docs.rdd.getNumPartitions() > 1
     assert sum(r["documents"] for r in found) == docs.filter(text.holds(F.col("tok"), "w0")).count()
+
+
+def test_entries_of_words_are_moved(index):
+    """The shuffle of a phrase search has a word's places as they are stored; tokens are made behind it."""
+    plan = index.matching("w1 <-> w2")._jdf.queryExecution().executedPlan().toString()
+    partial = [line for line in plan.split("\n") if "partial_collect_list" in line]
+    assert len(partial) == 1 and "pos" not in partial[0] and "collect_list(struct(lexeme, lexeme" in partial[0], plan
+
+
+def test_any_places(spark, tmp_path):
+    """Positions that don't ascend from 1, repeat or are missing come back."""
+    rows = [(1, [("a", -5, "A"), ("a", 7, None), ("b", 8, "B")]), (2, [("a", None, None), ("a", 2**31 - 1, "D"), ("b", -(2**31), "D")]), (3, [("a", 3, "C"), ("a", 3, "A")])]
+    docs = spark.createDataFrame(rows, "id long, tok array<struct<lex:string,pos:int,w:string>>")
+    write_index(docs, "id", F.col("tok"), str(tmp_path / "any"))
+    found = TextIndex(spark, str(tmp_path / "any"))._of([Term("a"), Term("b")], placed=True, weighted=True)
+    got = sorted((r["key"], r["lexeme"], r["places"], r["weights"]) for r in found.collect())
+    assert got == [
+        (1, "a", [-5, 7], ["A", None]), (1, "b", [8], ["B"]), (2, "a", [None, 2**31 - 1], [None, "D"]),
+        (2, "b", [-(2**31)], ["D"]), (3, "a", [3, 3], ["A", "C"]),
+    ]
